@@ -15,8 +15,9 @@ content, so that a document's passage meets exactly the one shard that can hold
    suffix automaton, with occurrence counts, is built in the task and the segments are streamed through
    it for matching statistics. Maximal spans whose match occurs twice or more and is long enough go;
 4. an anchor with more than ``shard_segments`` distinct segments (many different surroundings of one
-   common phrase) would be a hot shard. Its windows are counted one by one instead, keyed by a 128-bit
-   digest with map-side combine, which no key can make hot. Both ways are exact, and no case is left out.
+   common phrase) would be a hot shard. Its segments go through steps 1 to 3 again with longer anchors,
+   most of which occur once. What is hot even then is counted window by window, keyed by a 128-bit
+   digest with map-side combine, which no key can make hot. All ways are exact, and no case is left out.
 
 Each step's result is a table in the shared folder.
 """
@@ -24,6 +25,7 @@ Each step's result is a table in the shared folder.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +38,19 @@ from .hashing import gram_hashes, rolling_min, word_hashes
 from .scratch import materialize
 
 MIN_WORDS = 35
-ANCHOR_WORDS = 8
+#: Anchor lengths: of documents, then of the segments of hot anchors.
+ANCHOR_WORDS = (8, 24)
 SHARD_SEGMENTS = 256
 
 
-def split_words(text: str | None) -> list[bytes]:
+_DIGEST = struct.Struct("<qq")
+
+
+def split_words(text: str | bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8 (bytes.split() cuts at exactly these six bytes)."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+    if not text:
+        return []
+    return (text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")).split()
 
 
 def _window_anchors(words: list[bytes], min_words: int, anchor_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +60,7 @@ def _window_anchors(words: list[bytes], min_words: int, anchor_words: int) -> tu
 
 
 def _emit_anchors(batches: Iterator[pa.RecordBatch], min_words: int, anchor_words: int) -> Iterator[pa.RecordBatch]:
-    """(k1, k2, anchor, weight): weight 2 where the document alone may repeat a window of that anchor."""
+    """(k1, k2, text, copies) to (k1, k2, anchor, weight): weight 2 where one copy alone may repeat a window of that anchor."""
     for batch in batches:
         at, values, weights = [], [], []
         for row, text in enumerate(batch.column(2)):
@@ -65,25 +73,25 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch], min_words: int, anchor_word
             copies = np.searchsorted(grams, distinct, "right") - np.searchsorted(grams, distinct, "left")
             at.append(np.full(len(distinct), row))
             values.append(distinct)
-            weights.append(np.minimum(copies, 2))
+            weights.append(np.minimum(copies, 2) * batch.column(3)[row].as_py())
         if at:
             rows = pa.array(np.concatenate(at))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(values).view(np.int64)), pa.array(np.concatenate(weights).astype(np.int32))],
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(values).view(np.int64)), pa.array(np.concatenate(weights).astype(np.int64))],
                 ["k1", "k2", "anchor", "weight"],
             )
 
 
-_SEGMENT_TYPES = "k1 bigint, k2 bigint, anchor bigint, sid binary, start int, seg binary"
+_SEGMENT_TYPES = "k1 bigint, k2 bigint, anchor bigint, s1 bigint, s2 bigint, start int, copies bigint, seg binary"
 
 
 def _emit_segments(batches: Iterator[pa.RecordBatch], min_words: int, anchor_words: int) -> Iterator[pa.RecordBatch]:
-    """The segments of the anchors that repeat: first word, 128-bit digest and words."""
-    names = ["k1", "k2", "anchor", "sid", "start", "seg"]
+    """The segments of the anchors that repeat: 128-bit digest (s1, s2), first word, copies and words."""
+    names = ["k1", "k2", "anchor", "s1", "s2", "start", "copies", "seg"]
     for batch in batches:
         out: list[list] = [[] for _ in names]
         held = 0
-        for k1, k2, text, wanted in zip(*(batch.column(i) for i in range(4)), strict=True):
+        for k1, k2, text, copies, wanted in zip(*(batch.column(i) for i in range(5)), strict=True):
             words = split_words(text.as_py())
             anchors = _window_anchors(words, min_words, anchor_words)[1]
             hits = np.sort(np.asarray(wanted.values).view(np.uint64))
@@ -93,7 +101,8 @@ def _emit_segments(batches: Iterator[pa.RecordBatch], min_words: int, anchor_wor
             chosen = hits[place] == anchors[first]
             for start, end, anchor in zip(first[chosen].tolist(), ends[chosen].tolist(), anchors[first[chosen]].view(np.int64).tolist(), strict=True):
                 segment = b" ".join(words[start : end + min_words - 1])
-                for column, value in zip(out, (k1.as_py(), k2.as_py(), anchor, xxhash.xxh3_128_digest(segment), start, segment), strict=True):
+                s1, s2 = _DIGEST.unpack(xxhash.xxh3_128_digest(segment))
+                for column, value in zip(out, (k1.as_py(), k2.as_py(), anchor, s1, s2, start, copies.as_py(), segment), strict=True):
                     column.append(value)
                 held += len(segment)
             if held > 1 << 22:
@@ -104,7 +113,7 @@ def _emit_segments(batches: Iterator[pa.RecordBatch], min_words: int, anchor_wor
 
 
 def _segment_batch(out: list[list], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    kinds = [*[pa.int64()] * 5, pa.int32(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
 
@@ -208,15 +217,15 @@ def shard_spans(segments: list[tuple[bytes, int]], min_words: int) -> list[list[
 
 
 def _shard_partition(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, sid, copies, seg) sorted by anchor to (anchor, sid, spans)."""
+    """Rows (anchor, s1, s2, copies, seg) sorted by anchor to (s1, s2, spans)."""
     held: list[tuple] = []
 
     def flush():
-        found = shard_spans([(seg, copies) for _, _, copies, seg in held], min_words)
-        rows = [(a, s, spans) for (a, s, _, _), spans in zip(held, found, strict=True) if spans]
+        found = shard_spans([(row[4], row[3]) for row in held], min_words)
+        rows = [(row[1], row[2], spans) for row, spans in zip(held, found, strict=True) if spans]
         if rows:
-            anchor, sid, spans = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(sid, pa.binary()), pa.array(spans, pa.list_(pa.int32()))], ["anchor", "sid", "spans"])
+            s1, s2, spans = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(spans, pa.list_(pa.int32()))], ["k1", "k2", "spans"])
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -229,15 +238,15 @@ def _shard_partition(batches: Iterator[pa.RecordBatch], min_words: int) -> Itera
 
 
 def _emit_windows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """Each window of the segments of hot anchors: (anchor, sid, copies, end, digest)."""
+    """(k1, k2, text, copies) to each window: (k1, k2, copies, end, digest)."""
     for batch in batches:
-        for anchor, sid, copies, seg in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = seg.split()
+        for k1, k2, text, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words = split_words(text)
             digests = [xxhash.xxh3_128_digest(b" ".join(words[i : i + min_words])) for i in range(len(words) - min_words + 1)]
             n = len(digests)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([anchor] * n, pa.int64()), pa.array([sid] * n, pa.binary()), pa.array([copies] * n, pa.int64()), pa.array(range(min_words, min_words + n), pa.int32()), pa.array(digests, pa.binary())],
-                ["anchor", "sid", "copies", "end", "digest"],
+                [pa.array([k1] * n, pa.int64()), pa.array([k2] * n, pa.int64()), pa.array([copies] * n, pa.int64()), pa.array(range(min_words, min_words + n), pa.int32()), pa.array(digests, pa.binary())],
+                ["k1", "k2", "copies", "end", "digest"],
             )
 
 
@@ -259,35 +268,45 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(doc, F.xxhash64(F.lit("no id"), text)).alias("k1"), k2.alias("k2"), doc.alias("doc_id"), text.alias("text"))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
-    """``k1``, ``k2`` and ``spans`` (sorted [lo, hi) word spans as structs) of documents with repeats."""
-    keyed = _keyed(docs, id_col, text_col)
-    texts = keyed.where("text is not null").select("k1", "k2", "text")
-    anchors = materialize(texts.mapInArrow(lambda b: _emit_anchors(b, min_words, anchor_words), "k1 bigint, k2 bigint, anchor bigint, weight int"), "anchors")
+def _window_spans(texts: DataFrame, min_words: int) -> DataFrame:
+    """Spans of rows (k1, k2, text, copies), counted window by window."""
+    windows = materialize(texts.mapInArrow(lambda b: _emit_windows(b, min_words), "k1 bigint, k2 bigint, copies bigint, end int, digest binary"), "hot_windows")
+    twice = materialize(windows.groupBy("digest").agg(F.sum("copies").alias("n")).where("n > 1").select("digest"), "repeated_windows")
+    ends = windows.join(twice, "digest").groupBy("k1", "k2").agg(F.array_sort(F.collect_list("end")).alias("ends"))
+    return ends.select("k1", "k2", _merge_windows(F.col("ends"), min_words).alias("spans"))
+
+
+def _anchor_spans(texts: DataFrame, min_words: int, anchor_words: tuple[int, ...], shard_segments: int) -> DataFrame:
+    """``spans`` (flat word positions) of parts of rows (k1, k2, text, copies) whose windows repeat."""
+    if not anchor_words:
+        return _window_spans(texts, min_words)
+    size, longer = anchor_words[0], anchor_words[1:]
+    anchors = materialize(texts.mapInArrow(lambda b: _emit_anchors(b, min_words, size), "k1 bigint, k2 bigint, anchor bigint, weight bigint"), "anchors")
     # written first: a join of two plain scans can be split where one anchor is hot
     repeated = materialize(anchors.groupBy("anchor").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor"), "repeated")
     wanted = anchors.join(repeated, "anchor").groupBy("k1", "k2").agg(F.collect_set("anchor").alias("wanted"))
-    segments = materialize(
-        texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(lambda b: _emit_segments(b, min_words, anchor_words), _SEGMENT_TYPES),
-        "segments",
-    )
-    distinct = materialize(segments.groupBy("anchor", "sid", "seg").agg(F.count("*").alias("copies")).select("anchor", "sid", "copies", "seg"), "distinct_segments")
-    sizes = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("n")), "shards")
-    hot = sizes.where(F.col("n") > shard_segments).select("anchor")
-    calm = distinct.join(sizes.where(F.col("n") <= shard_segments).select("anchor"), "anchor")
-    by_shard = calm.select("anchor", "sid", "copies", "seg").repartition("anchor").sortWithinPartitions("anchor")
-    found = by_shard.mapInArrow(lambda b: _shard_partition(b, min_words), "anchor bigint, sid binary, spans array<int>")
-    windows = materialize(
-        distinct.join(hot, "anchor").select("anchor", "sid", "copies", "seg").mapInArrow(lambda b: _emit_windows(b, min_words), "anchor bigint, sid binary, copies bigint, end int, digest binary"),
-        "hot_windows",
-    )
-    twice = materialize(windows.groupBy("digest").agg(F.sum("copies").alias("n")).where("n > 1").select("digest"), "repeated_windows")
-    ends = windows.join(twice, "digest").groupBy("anchor", "sid").agg(F.array_sort(F.collect_list("end")).alias("ends"))
-    hot_found = ends.select("anchor", "sid", _merge_windows(F.col("ends"), min_words).alias("spans"))
-    spans = materialize(found.unionByName(hot_found), "segment_spans")
-    pairs = F.expr("transform(sequence(0, size(spans) div 2 - 1), i -> struct(start + spans[2 * i] as lo, start + spans[2 * i + 1] as hi))")
-    located = segments.select("k1", "k2", "anchor", "sid", "start").join(spans, ["anchor", "sid"]).select("k1", "k2", pairs.alias("part"))
-    return located.groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("part")))).alias("spans"))
+    joined = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "copies", "wanted")
+    segments = materialize(joined.mapInArrow(lambda b: _emit_segments(b, min_words, size), _SEGMENT_TYPES), "segments")
+    distinct = materialize(segments.groupBy("anchor", "s1", "s2", "seg").agg(F.sum("copies").alias("copies")).select("anchor", "s1", "s2", "copies", "seg"), "distinct_segments")
+    shards = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("n")), "shards")
+    hot = shards.where(F.col("n") > shard_segments).select("anchor")
+    calm = distinct.join(shards.where(F.col("n") <= shard_segments).select("anchor"), "anchor").select(distinct.columns)
+    dealt = calm.repartition("anchor").sortWithinPartitions("anchor")
+    spans = dealt.mapInArrow(lambda b: _shard_partition(b, min_words), "k1 bigint, k2 bigint, spans array<int>")
+    if not hot.isEmpty():
+        again = materialize(distinct.join(hot, "anchor").select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.col("seg").alias("text"), "copies"), "hot_segments")
+        spans = spans.unionByName(_anchor_spans(again, min_words, longer, shard_segments))
+    spans = materialize(spans.select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), "spans"), "segment_spans")
+    moved = F.transform("spans", lambda x: x + F.col("start"))
+    return segments.select("k1", "k2", "s1", "s2", "start").join(spans, ["s1", "s2"]).select("k1", "k2", moved.alias("spans"))
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, anchor_words: tuple[int, ...] = ANCHOR_WORDS, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
+    """``k1``, ``k2`` and ``spans`` (sorted [lo, hi) word spans as structs) of documents with repeats."""
+    texts = _keyed(docs, id_col, text_col).where("text is not null").select("k1", "k2", "text", F.lit(1).cast("bigint").alias("copies"))
+    parts = _anchor_spans(texts, min_words, anchor_words, shard_segments)
+    pairs = F.expr("transform(sequence(0, size(spans) div 2 - 1), i -> struct(spans[2 * i] as lo, spans[2 * i + 1] as hi))")
+    return parts.groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(pairs)))).alias("spans"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:

@@ -51,7 +51,7 @@ def test_matches_brute_force(spark, shard_segments):
     passages = [[f"p{k}x{j}" for j in range(rng.randint(8, 40))] for k in range(4)] + [["a"] * 30, ["a", "b"] * 12]
     rows = corpus(rng, 70, 3000, passages, 50)
     rows += [rows[3], rows[3], (None, rows[4][1]), (None, None), (900, ""), (901, None), (902, "\x0b \x0c"), (903, "a " * 400)]
-    assert run(spark, rows, min_words=12, anchor_words=4, shard_segments=shard_segments) == brute(rows, 12)
+    assert run(spark, rows, min_words=12, anchor_words=(4, 8), shard_segments=shard_segments) == brute(rows, 12)
 
 
 def test_production_window_and_long_text(spark):
