@@ -53,10 +53,10 @@ def with_features(docs: DataFrame, text_col: str = "text", prefix: str = "_q_")
         F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>")),
         lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")),
     )
-    out = out.withColumn(grams, F.array_sort(gram))
+    out = out.withColumn(grams, F.sort_array(gram))
     at = F.col(grams)
     again = F.filter(at, lambda x, k: F.get(at, k - 1)["h"].eqNullSafe(x["h"]) | F.get(at, k + 1)["h"].eqNullSafe(x["h"]))
-    out = out.withColumn(twice, F.array_sort(F.transform(again, lambda x: x["i"])))
+    out = out.withColumn(twice, F.sort_array(F.transform(again, lambda x: x["i"])))
     p = F.col(twice)
     steps = F.zip_with(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), lambda b, a: F.least(F.lit(3), b - a))
     repeat = F.when(F.size(p) == 0, F.lit(0)).otherwise(F.lit(3) + F.aggregate(steps, F.lit(0), lambda acc, x: acc + x))
@@ -208,7 +208,10 @@ def _judged(docs: DataFrame, rules: list[Rule], text_col: str, prefix: str) -> D
     q = prefix
     featured = with_features(docs, text_col, q)
     failed = (F.col(q + "n_words") < MIN_WORDS) | (100 * F.col(q + "n_repeat_words") > MAX_REPEAT_PERCENT * F.col(q + "n_words"))
-    return featured.withColumn(q + "base_failed", failed).withColumn(q + "kept", ~F.col(q + "base_failed") & verdict(rules, q))
+    # always true, but not deterministic to the optimizer: a filter on the verdict then stays above the
+    # features, where pushing it down would repeat their array expressions many times over
+    here = F.monotonically_increasing_id() >= 0
+    return featured.withColumn(q + "base_failed", here & failed).withColumn(q + "kept", here & ~F.col(q + "base_failed") & verdict(rules, q))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
