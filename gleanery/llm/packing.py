@@ -164,15 +164,15 @@ _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tok
 
 def _cut_documents(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     encode = encoder(path).ids
-    end = end_id.to_bytes(4, "little")
+    end = np.array([end_id], "<u4")
     for batch in batches:
         out: list[list[int | None]] = [[] for _ in range(5)]
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = memoryview(encode(text.as_py() or "") + end)
-            total = len(ids) // 4
+            ids = np.concatenate([encode(text.as_py() or ""), end]).astype("<u4", copy=False)
+            total = len(ids)
             for start in range(0, total, capacity):
-                part = ids[4 * start : 4 * (start + capacity)]
-                for column, value in zip(out, (doc, start, len(part) // 4, zlib.crc32(part), total), strict=True):
+                part = ids[start : start + capacity]
+                for column, value in zip(out, (doc, start, len(part), zlib.crc32(part), total), strict=True):
                     column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
