@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import gram_hashes, rolling_min, word_hashes
-from .scratch import materialize
+from .scratch import fresh_name, materialize
 
 MIN_WORDS = 35
 #: Anchor lengths: of documents, then of the segments of hot anchors.
@@ -309,40 +309,65 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return parts.groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(pairs)))).alias("spans"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, spans) to (doc_id, n_words, n_removed, kept_sha256[, text])."""
+def _kept_words(words: list[bytes], spans: list[dict]) -> list[bytes]:
+    kept: list[bytes] = []
+    at = 0
+    for span in spans:
+        kept += words[at : max(at, span["lo"])]
+        at = max(at, span["hi"])
+    return kept + words[at:]
+
+
+def kept(text: str, spans: list[dict]) -> str:
+    """``text`` without the words under ``spans``, the others joined by one space."""
+    return b" ".join(_kept_words(split_words(text), spans)).decode("utf-8", "surrogatepass")
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, spans) to (doc_id, n_words, n_removed, kept_sha256)."""
     for batch in batches:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], []]
         for text, spans in zip(batch.column(1), batch.column(2), strict=True):
             words = split_words(text.as_py())
-            kept, at = words, 0
-            if spans.is_valid:
-                kept = []
-                for span in spans.as_py():
-                    kept += words[at : max(at, span["lo"])]
-                    at = max(at, span["hi"])
-                kept += words[at:]
-            joined = b" ".join(kept)
-            changed = len(kept) < len(words)
-            values = (len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "surrogatepass") if changed else text.as_py())
+            stay = _kept_words(words, spans.as_py()) if spans.is_valid else words
+            values = (len(words), len(words) - len(stay), hashlib.sha256(b" ".join(stay)).hexdigest())
             for column, value in zip(out, values, strict=True):
                 column.append(value)
         arrays = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
-        if with_text:
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(out[3], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
-        else:
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_removed", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, with_text: bool = False, **options) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, **options) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256``.
 
-    ``kept_sha256`` is of the kept words joined by one space. ``with_text`` adds ``kept_text``: those
-    words, or the unchanged text where nothing was removed. A null text has no words (and stays null);
-    shorter texts than a window keep all words. Rows that repeat an id and a text are documents of their
-    own, so their windows repeat. Null ids are kept. An empty table gives an empty result.
+    ``kept_sha256`` is of the kept words joined by one space. A null text has no words; shorter texts
+    than a window keep all words. Rows that repeat an id and a text are documents of their own, so their
+    windows repeat. Null ids are kept. An empty table gives an empty result.
     """
     spans = repeated_spans(docs, id_col, text_col, min_words, **options)
     joined = _keyed(docs, id_col, text_col).join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text
-    return joined.mapInArrow(lambda b: _cut(b, with_text), schema)
+    return joined.mapInArrow(_cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+
+
+def replace_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, **options) -> DataFrame:
+    """``docs`` with all its columns, the text of documents with repeats replaced by the kept words.
+
+    Texts without repeats stay as they are; a text that is all repeats becomes empty.
+    """
+    spans = repeated_spans(docs, id_col, text_col, min_words, **options)
+    one, two = fresh_name(docs, "_k1"), fresh_name(docs, "_k2")
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    text, doc = docs[text_col].cast("string"), docs[id_col].cast("bigint")
+    keyed = docs.withColumns({one: F.coalesce(doc, F.xxhash64(F.lit("no id"), text)), two: F.xxhash64(text)})
+    there = spans.select(F.col("k1").alias(one), F.col("k2").alias(two), F.col("spans").alias(fresh_name(docs, "_spans")))
+    joined = keyed.join(there, [one, two], "left").drop(one, two)
+    at = docs.columns.index(text_col)
+    return joined.mapInArrow(lambda b: _replace(b, at), names)
+
+
+def _replace(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [kept(t.as_py(), s.as_py()) if s.is_valid else t.as_py() for t, s in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True)]
+        columns = [*batch.columns[:-1]]
+        columns[at] = pa.array(texts, pa.string())
+        yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])

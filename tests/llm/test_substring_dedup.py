@@ -68,7 +68,22 @@ def test_production_window_and_long_text(spark):
 def test_edges(spark):
     assert run(spark, []) == []
     clashing = spark.createDataFrame([(1, "a b", "x", 2)], "doc_id long, text string, anchor string, k1 int")
-    assert sd.remove_repeats(clashing, with_text=True).first().kept_text == "a b"
+    assert [tuple(r) for r in sd.replace_texts(clashing).collect()] == [(1, "a b", "x", 2)]
+
+
+def test_replaced_texts_are_the_kept_words(spark):
+    rng = random.Random(8)
+    rows = corpus(rng, 40, 3000, [[f"p{j}" for j in range(30)]], 40) + [(None, None), (77, ""), (None, "k  k")]
+    df = spark.createDataFrame([(i, t, "en", f"c{k}") for k, (i, t) in enumerate(rows)], SCHEMA + ", spans string, _k1 string")
+    got = sd.replace_texts(df, min_words=12, anchor_words=(4,)).collect()
+    expected = {(d, n, sha): gone for d, n, gone, sha in brute(rows, 12)}
+    for r in got:
+        original = rows[int(r._k1[1:])][1]
+        if original is None or r.text == original:
+            continue
+        sha = hashlib.sha256(r.text.encode()).hexdigest()
+        assert expected[(r.doc_id, len(original.split()), sha)] > 0
+    assert len(got) == len(rows) and sum(r.text != rows[int(r._k1[1:])][1] for r in got) == sum(g > 0 for g in expected.values())
 
 
 def test_automaton_counts_every_substring():
