@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, packing, quality_rules, simhash_dedup, substring_dedup
+from . import chat_format, decontamination, html_extract, packing, quality_rules, simhash_dedup, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +43,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(table.unionByName(extra))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_substring_dedup": op2_substring_dedup, "op3_quality_rules": op3_quality_rules, "op4_decontamination": op4_decontamination, "op6_simhash": op6_simhash, "op7_packing": op7_packing, "op8_chat_format": op8_chat_format}
+    return {"op2_substring_dedup": op2_substring_dedup, "op3_quality_rules": op3_quality_rules, "op4_decontamination": op4_decontamination, "op6_simhash": op6_simhash, "op7_packing": op7_packing, "op8_chat_format": op8_chat_format, "op9_html_extract": op9_html_extract}
 
 
 def oracle_sql() -> dict[str, str]:
