@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, html_extract, packing, quality_rules, simhash_dedup, substring_dedup
+from . import chat_format, decontamination, html_extract, language_id, license_scan, packing, quality_rules, simhash_dedup, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -47,8 +55,26 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, and those after three edits at places that its id fixes."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    length = F.coalesce(F.char_length("text"), F.lit(0))
+
+    def edit(k: int, new: str):
+        start = F.pmod(F.xxhash64("doc_id", F.lit(k)), length + 1)
+        return F.struct(start.alias("start"), (start + F.pmod(F.xxhash64("doc_id", F.lit(-k)), F.lit(20))).alias("end"), F.lit(new).alias("replacement"))
+
+    return token_counts.counts_with(docs.withColumn("edits", F.array(edit(1, ""), edit(2, "rewritten"), edit(3, " two new words "))), "edits")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_substring_dedup": op2_substring_dedup, "op3_quality_rules": op3_quality_rules, "op4_decontamination": op4_decontamination, "op6_simhash": op6_simhash, "op7_packing": op7_packing, "op8_chat_format": op8_chat_format, "op9_html_extract": op9_html_extract}
+    return {
+        f.__name__: f
+        for f in (
+            op1_language_id, op2_substring_dedup, op3_quality_rules, op4_decontamination, op5_license_scan,
+            op6_simhash, op7_packing, op8_chat_format, op9_html_extract, op10_token_counts,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
