@@ -44,7 +44,7 @@ def search_lines(lines: DataFrame, pattern: str) -> DataFrame:
 
 def parse_local(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, rejected lines) of ``term | freq | url`` lines."""
-    parts = F.transform(F.split("line", "\\|"), F.trim)
+    parts = F.transform(F.split("line", "\\|"), lambda x: F.trim(x))
     parsed = lines.select("line", F.get(parts, F.lit(0)).alias("term"), F.try_to_number(F.get(parts, F.lit(1)), F.lit("999999999999")).cast("bigint").alias("freq"), F.get(parts, F.lit(2)).alias("url"))
     valid = F.coalesce((F.col("term") != "") & F.col("freq").isNotNull() & (F.col("url") != ""), F.lit(False))
     return parsed.where(valid).select("term", "url", "freq"), parsed.where(~valid).select("line")
