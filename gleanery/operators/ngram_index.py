@@ -56,7 +56,8 @@ def parse_global(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     words = F.filter(F.split(F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))), "\\s+"), lambda w: w != "")
     parsed = lines.select("line", F.trim(F.get(parts, F.lit(0))).alias("term"), words.alias("words"))
     valid = (F.col("term") != "") & (F.size("words") > 0) & (F.size("words") % 2 == 0)
-    pairs = F.transform(F.sequence(F.lit(0), F.size("words") / 2 - 1), lambda i: F.struct(F.get("words", (2 * i).cast("int")).alias("url"), F.get("words", (2 * i + 1).cast("int")).alias("freq")))
+    starts = F.sequence(F.lit(0), F.size("words") - 2, F.lit(2))
+    pairs = F.transform(starts, lambda i: F.struct(F.get("words", i).alias("url"), F.get("words", i + 1).alias("freq")))
     rows = parsed.where(valid).select("term", F.explode(pairs).alias("p")).select("term", "p.url", F.expr("try_cast(p.freq as bigint)").alias("freq"))
     return rows, parsed.where(~valid).select("line")
 
