@@ -356,13 +356,12 @@ def replace_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spans = repeated_spans(docs, id_col, text_col, min_words, **options)
     one, two = fresh_name(docs, "_k1"), fresh_name(docs, "_k2")
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     text, doc = docs[text_col].cast("string"), docs[id_col].cast("bigint")
     keyed = docs.withColumns({one: F.coalesce(doc, F.xxhash64(F.lit("no id"), text)), two: F.xxhash64(text)})
     there = spans.select(F.col("k1").alias(one), F.col("k2").alias(two), F.col("spans").alias(fresh_name(docs, "_spans")))
     joined = keyed.join(there, [one, two], "left").drop(one, two)
     at = docs.columns.index(text_col)
-    return joined.mapInArrow(lambda b: _replace(b, at), names)
+    return joined.mapInArrow(lambda b: _replace(b, at), docs.schema)
 
 
 def _replace(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
