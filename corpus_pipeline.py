@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from gleanery.llm import decontamination, packing, quality_rules, simhash_dedup, substring_dedup
 from gleanery.llm.scratch import materialize
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,29 +19,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents that the base rules or the learned list reject go."""
-    return quality_rules.keep_good(docs, _table(spark, sf_dir, "labels")).select(*COLUMNS)
+    return quality_rules.keep_good(docs, _table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: of each group of near copies the document with the smallest id stays.
 
-    Rows without an id that belong to no group with an id stay.
+    Rows that share an id are one document: they stay or go together. Rows without an id stay.
     """
     groups = simhash_dedup.near_duplicates(docs).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
     dropped = materialize(groups, "near_copies")
     without_id = docs.where("doc_id is null")
-    return docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti").unionByName(without_id).select(*COLUMNS)
+    return docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti").unionByName(without_id).select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: words under windows that occur more than once are cut; ``n_chars`` follows the text."""
     cut = substring_dedup.replace_texts(docs)
-    return cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("bigint"))).select(*COLUMNS)
+    if "n_chars" not in docs.columns:
+        return cut
+    return cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("bigint")))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents that hold a benchmark item go."""
-    return decontamination.drop_contaminated(docs, _table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    return decontamination.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
