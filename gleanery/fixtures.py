@@ -112,3 +112,15 @@ SPECIES = [
     ("/wiki/Rose", "Rosa rubra", [("kingdom", "plantae"), ("order", "rosales"), ("family", "rosaceae"), ("genus", "rosa")], {"rosa": 4, "plant": 3, "rosales": 2, "family": 1}),
     ("/wiki/Fern", None, [("kingdom", "plantae"), ("class", "polypodiopsida")], {"plantae": 1, "fern": 3}),
 ]
+
+ARTICLES = [(1, '{"url":"u1","binomial_name":"b","article_words":["Red","rose","rose"]}'), (2, '{"type":"string","value":"{\\"url\\":\\"u2\\",\\"binomial_name\\":\\"c\\"}"}'), (3, "{}"), (4, "junk"), (5, None)]
+LOCAL_LINES = [("red rose | 2 | u1",), ("bad line",), ("x | y | u",), ("moss | 10 | u2",), (" | 3 | u3",)]
+BATCH_TIMES = [(n, i, (i * 7 + k) % 50) for k, n in enumerate(("n1", "n2")) for i in range(9)]
+MACHINES = [("10.0.0.1", 80), ("10.0.0.1", 80), ("10.0.0.1", 81), ("10.0.0.2", 80)]
+SIZES = [(12, 999), (2048, 1500), (3145728, 90000), (5368709120, 5400000)]
+RAW_KEYS = [("a.b/c-d_e",), ("prefix-ab",), ("plain",)]
+SEARCHES = [(1, 'The "Red Rose", of a bush!'), (2, 'no phrases'), (3, '"one" and "two three"')]
+LOOSE_POSTINGS = [("a", 1, 0.5, None, 3), ("a", 2, None, 0.25, None), ("b", 1, None, None, None)]
+LOOSE_SCHEMA = "term string, doc_id bigint, score double, tfidf double, count bigint"
+GROUP_OPS = [(1, "put", "g", "10.0.0.1", 80), (2, "add", "g", "10.0.0.2", 80), (3, "add", "h", "10.0.0.1", 80), (4, "rem", "g", "10.0.0.1", 80), (5, "add", "g", "10.0.0.3", 81), (6, "rem", "h", "10.0.0.9", 9)]
+GROUP_SCHEMA = "seq bigint, op string, gid string, ip string, port int"

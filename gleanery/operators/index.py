@@ -27,9 +27,14 @@ def term_counts(docs: DataFrame, stopwords=QUERY_STOPWORDS, id_col: str = "doc_i
     return words.groupBy("doc_id", "term", "total").agg(F.count("*").alias("count"))
 
 
-def tfidf(counts: DataFrame, log=F.ln) -> DataFrame:
-    """``counts`` with ``tf``, ``df``, ``idf`` and ``tfidf``."""
-    n = counts.agg(F.count_distinct("doc_id").alias("n_docs"))
+def corpus_size(docs: DataFrame, stopwords=QUERY_STOPWORDS, text_col: str = "text") -> DataFrame:
+    """``n_docs``: documents with a term, from their own rows (no shuffle but one number a task)."""
+    return docs.agg(F.count_if(F.size(terms(F.col(text_col), stopwords)) > 0).alias("n_docs"))
+
+
+def tfidf(counts: DataFrame, size: DataFrame | None = None, log=F.ln) -> DataFrame:
+    """``counts`` with ``tf``, ``df``, ``idf`` and ``tfidf``; ``size`` is ``corpus_size`` where the documents are at hand."""
+    n = counts.agg(F.count_distinct("doc_id").alias("n_docs")) if size is None else size
     by_term = counts.groupBy("term").agg(F.count("*").alias("df"))
     idf = log(F.col("n_docs") / F.greatest(F.col("df"), F.lit(1)))
     weighted = by_term.crossJoin(F.broadcast(n)).select("term", "df", idf.alias("idf"))

@@ -60,3 +60,8 @@ def moved_keys(placed_before: DataFrame, placed_after: DataFrame) -> DataFrame:
     """Keys that change their node with the membership: ``key``, ``before``, ``after``."""
     both = placed_before.select("key", F.col("node").alias("before")).join(placed_after.select("key", F.col("node").alias("after")), "key")
     return both.where("before <> after")
+
+
+def members(log: DataFrame) -> DataFrame:
+    """Nodes (``gid``, ``ip``, ``port``) of each group after ``put``, ``add`` and ``rem`` operations in order."""
+    return latest(log, "gid", "ip", "port").where("op <> 'rem'").select("gid", "ip", "port")

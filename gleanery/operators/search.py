@@ -58,6 +58,11 @@ def posting_lists(postings: DataFrame, *terms: str) -> DataFrame:
     return postings.where(F.col("term").isin(list(terms))).select("term", "doc_id", "score", "count").orderBy("term", F.desc("score"), "doc_id")
 
 
+def tolerant(postings: DataFrame) -> DataFrame:
+    """Postings with gaps: no count is 1, no score is the ``tfidf``, or 0."""
+    return postings.withColumn("score", F.coalesce("score", "tfidf", F.lit(0.0))).withColumn("count", F.coalesce("count", F.lit(1))).drop("tfidf")
+
+
 def repair_min_idf(postings: DataFrame) -> DataFrame:
     """Least idf 0.001, and weak scores from the counts, for terms found in nearly all documents."""
     weak = F.col("score") < 0.0001

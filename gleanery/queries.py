@@ -10,11 +10,28 @@ from pyspark.sql import functions as F
 from gleanery import fixtures as fx
 from gleanery.functions import hashing, html
 from gleanery.functions.stem import stem_all
-from gleanery.functions.text import QUERY_STOPWORDS, letter_words, pair_shard_key, raw_tokens, shard_key, smart_prefix, terms, to_fixed
+from gleanery.functions.text import (
+    QUERY_STOPWORDS,
+    format_bytes,
+    format_time,
+    letter_words,
+    pair_shard_key,
+    query_phrases,
+    query_tokens,
+    raw_tokens,
+    safe_key,
+    shard_key,
+    smart_prefix,
+    strip_prefix,
+    terms,
+    to_fixed,
+    word_array_terms,
+)
 from gleanery.operators import index, kvstore, mapreduce, metrics, ngram_index, search
 from gleanery.plans import catalogue
-from gleanery.sources.tables import table
+from gleanery.sources.tables import decode_articles, table
 from gleanery.streaming import crawl
+from gleanery.streaming.incremental import batch_postings
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
@@ -37,7 +54,7 @@ def _counts(spark, d) -> DataFrame:
 
 
 def _scored(spark, d) -> DataFrame:
-    return index.tfidf(_counts(spark, d))
+    return index.tfidf(_counts(spark, d), index.corpus_size(_docs(spark, d)))
 
 
 def _postings(spark, d) -> DataFrame:
@@ -579,6 +596,115 @@ def index_diff(spark, d):
     return ngram_index.diff(old, new)
 
 
+# --- small operators on fixed rows ------------------------------------------------------------
+
+
+@register(f"""SELECT coalesce(json_extract_string(raw, '$.url'), json_extract_string(json_extract_string(raw, '$.value'), '$.url')) AS url,
+ coalesce(json_extract_string(raw, '$.binomial_name'), json_extract_string(json_extract_string(raw, '$.value'), '$.binomial_name')) AS binomial_name FROM
+ (SELECT raw FROM {fx.values_sql(fx.ARTICLES, 'id, raw')} WHERE json_valid(raw)) WHERE url IS NOT NULL""")
+def article_decode(spark, d):
+    return decode_articles(fx.frame(spark, fx.ARTICLES, "id int, raw string")).select("url", "binomial_name")
+
+
+@register(f"""SELECT line, NOT coalesce(trim(p[1]) <> '' AND regexp_full_match(trim(p[2]), '[0-9]+') AND trim(p[3]) <> '', false) AS rejected FROM (SELECT line, string_split(line, '|') AS p FROM {fx.values_sql(fx.LOCAL_LINES, 'line')})""")
+def ngram_rejected_lines(spark, d):
+    lines = fx.frame(spark, fx.LOCAL_LINES, "line string")
+    rows, rejected = ngram_index.parse_local(lines)
+    good = rows.select(F.concat_ws(" | ", "term", F.col("freq").cast("string"), "url").alias("line"), F.lit(False).alias("rejected"))
+    return good.unionByName(rejected.withColumn("rejected", F.lit(True)))
+
+
+@register(f"SELECT CAST(sum(u) AS BIGINT) AS heap_used, CAST(sum(t) AS BIGINT) AS heap_total FROM {fx.values_sql(fx.HEAPS, 'node, kind, u, t')}")
+def heap_totals(spark, d):
+    return metrics.heap_totals(fx.frame(spark, fx.HEAPS, fx.HEAPS_SCHEMA))
+
+
+@register(f"SELECT node, seq, ms FROM (SELECT node, CAST(seq AS BIGINT) AS seq, CAST(ms AS BIGINT) AS ms, row_number() OVER (PARTITION BY node ORDER BY seq DESC) AS r FROM {fx.values_sql(fx.BATCH_TIMES, 'node, seq, ms')}) WHERE r <= 5")
+def recent_batch_times(spark, d):
+    return metrics.recent(fx.frame(spark, fx.BATCH_TIMES, "node string, seq bigint, ms bigint")).select("node", "seq", "ms")
+
+
+@register(f"SELECT DISTINCT ip, port FROM {fx.values_sql(fx.MACHINES, 'ip, port')}")
+def distinct_nodes(spark, d):
+    return metrics.distinct_nodes(fx.frame(spark, fx.MACHINES, "ip string, port int"))
+
+
+@register(f"""SELECT CASE WHEN b < 1024 THEN b || 'B' WHEN b < 1048576 THEN printf('%.2fKB', b / 1024.0::DOUBLE) WHEN b < 1073741824 THEN printf('%.2fMB', b / 1048576.0::DOUBLE) ELSE printf('%.2fGB', b / 1073741824.0::DOUBLE) END AS size,
+ CASE WHEN m < 1000 THEN m || 'ms' WHEN m < 60000 THEN printf('%.2fs', m / 1000.0::DOUBLE) WHEN m < 3600000 THEN printf('%.2fm', m / 60000.0::DOUBLE) ELSE printf('%.2fh', m / 3600000.0::DOUBLE) END AS took FROM {fx.values_sql(fx.SIZES, 'b, m')}""")
+def formatted_sizes(spark, d):
+    return fx.frame(spark, fx.SIZES, "b bigint, m bigint").select(format_bytes(F.col("b")).alias("size"), format_time(F.col("m")).alias("took"))
+
+
+@register(f"SELECT regexp_replace(key, '[^a-zA-Z0-9_-]', '_', 'g') AS safe, regexp_replace(key, '^prefix-', '') AS bare FROM {fx.values_sql(fx.RAW_KEYS, 'key')}")
+def safe_keys(spark, d):
+    return fx.frame(spark, fx.RAW_KEYS, "key string").select(safe_key(F.col("key")).alias("safe"), strip_prefix(F.col("key")).alias("bare"))
+
+
+@register(f"SELECT nid, substr(nid, 1, 5) AS sid FROM (SELECT sha256('{{\"ip\":\"' || ip || '\",\"port\":' || port || '}}') AS nid FROM {fx.values_sql(fx.NODES, 'ip, port')})")
+def node_ids(spark, d):
+    nid = hashing.node_id(F.col("ip"), F.col("port"))
+    return fx.frame(spark, fx.NODES, "ip string, port int").select(nid.alias("nid"), hashing.short_id(nid).alias("sid"))
+
+
+@register(f"""SELECT id, array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(lower(q), '[^A-Za-z0-9_\\s]', ' ', 'g')), '\\s+'), lambda t: length(t) > 2 AND t NOT IN ({_STOP})), ' ') AS tokens,
+ array_to_string(list_transform(regexp_extract_all(q, '"([^"]*)"', 1), lambda t: lower(t)), '|') AS phrases FROM {fx.values_sql(fx.SEARCHES, 'id, q')}""")
+def query_parts(spark, d):
+    parts = fx.frame(spark, fx.SEARCHES, "id int, q string")
+    return parts.select("id", F.array_join(query_tokens(F.col("q")), " ").alias("tokens"), F.array_join(query_phrases(F.col("q")), "|").alias("phrases"))
+
+
+@register(f"SELECT term, CAST(doc_id AS BIGINT) AS doc_id, CAST(coalesce(score, tfidf, 0) AS DOUBLE) AS score, CAST(coalesce(c, 1) AS BIGINT) AS count FROM {fx.values_sql(fx.LOOSE_POSTINGS, 'term, doc_id, score, tfidf, c')}")
+def tolerant_postings(spark, d):
+    return search.tolerant(fx.frame(spark, fx.LOOSE_POSTINGS, fx.LOOSE_SCHEMA))
+
+
+@register(f"SELECT gid, ip, port FROM (SELECT *, row_number() OVER (PARTITION BY gid, ip, port ORDER BY seq DESC) AS n FROM {fx.values_sql(fx.GROUP_OPS, 'seq, op, gid, ip, port')}) WHERE n = 1 AND op <> 'rem'")
+def group_members(spark, d):
+    return kvstore.members(fx.frame(spark, fx.GROUP_OPS, fx.GROUP_SCHEMA))
+
+
+# --- variants on the whole corpus ---------------------------------------------------------------
+
+
+@register(f"WITH {_CNT}, u AS (SELECT doc_id, count(*) AS u FROM cnt GROUP BY 1) SELECT doc_id, term, {_fix('CAST(c AS DOUBLE) / u', 6)} AS tf FROM cnt JOIN u USING (doc_id)")
+def tf_distinct_terms(spark, d):
+    counts = index.term_counts(_docs(spark, d), denominator="distinct")
+    return counts.select("doc_id", "term", to_fixed(F.col("count") / F.col("total"), 6).alias("tf"))
+
+
+@register(f"""WITH w AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS total FROM documents), {_TOK}
+ SELECT doc_id, term, count(*) AS count, {_fix('CAST(count(*) AS DOUBLE) / total', 6)} AS tf FROM tok JOIN w USING (doc_id) GROUP BY doc_id, term, total""")
+def tf_word_arrays(spark, d):
+    """Frequencies over arrays of raw words: the document's length counts all of them."""
+    words = _docs(spark, d).select("doc_id", F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0)).alias("words"))
+    kept = words.select("doc_id", F.size("words").alias("total"), F.explode(word_array_terms(F.col("words"))).alias("term"))
+    return kept.groupBy("doc_id", "term", "total").agg(F.count("*").alias("count")).select("doc_id", "term", "count", to_fixed(F.col("count") / F.col("total"), 6).alias("tf"))
+
+
+@register(f"""WITH {_POST} SELECT term, df, {_fix('idf', 6)} AS idf, string_agg(doc_id || ':' || c, ' ' ORDER BY rank) AS postings, {_SHARD} AS shard FROM post WHERE rank <= 5 GROUP BY term, df, idf""")
+def term_objects(spark, d):
+    objects = index.term_objects(_scored(spark, d), 5)
+    pairs = F.transform("postings", lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["count"].cast("string")))
+    return objects.select("term", "df", to_fixed(F.col("idf"), 6).alias("idf"), F.array_join(pairs, " ").alias("postings"), "shard")
+
+
+@register(f"WITH {_POST} SELECT doc_id, total AS total_words, string_agg(term || ':' || c, ' ' ORDER BY rank) AS terms FROM vec GROUP BY 1, 2")
+def doc_objects(spark, d):
+    objects = index.doc_objects(_scored(spark, d))
+    pairs = F.transform("terms", lambda p: F.concat_ws(":", p["term"], p["count"].cast("string")))
+    return objects.select("doc_id", "total_words", F.array_join(pairs, " ").alias("terms"))
+
+
+@register(f"""WITH {_CNT}, p AS (SELECT term, doc_id, CAST(c AS DOUBLE) / total AS tf FROM cnt) SELECT term, CAST(doc_id AS VARCHAR) AS url, {_fix('tf', 6)} AS tf, count(*) OVER (PARTITION BY term) AS df FROM p""")
+def incremental_index(spark, d):
+    """Two batches of documents upserted one after the other, the second one again in part: the index of them all."""
+    docs = _docs(spark, d).select(F.col("doc_id").cast("string").alias("url"), "text", F.lit("2024-01-01").cast("timestamp").alias("ts"))
+    first = batch_postings(docs.where("cast(url as bigint) % 3 <> 0"))
+    second = batch_postings(docs.where("cast(url as bigint) % 3 <> 1"))
+    merged = kvstore.upsert_postings(kvstore.upsert_postings(first, second), second)
+    return merged.select("term", "url", to_fixed(F.col("tf"), 6).alias("tf"), "df")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in REGISTRY.items()}
 
