@@ -6,7 +6,8 @@ Built-in DataFrame functions only. Texts and templates are lower-cased words (le
 * Templates are put in size classes. A class of up to ``c`` shingles looks at windows of ``2c`` shingles, one
   every ``c``, so a passage of up to ``c`` shingles lies in one window (``SLACK``: insertions make a passage up to
   1.25 times as long as its template).
-* Windows without any shingle of a template cannot hold one and are not hashed.
+* Texts, and then windows, without any shingle of a template cannot hold one. The texts that have one are
+  written to the shared folder once, so all size classes read their shingles from there.
 * ``BANDS`` bands of one MinHash row each. A window that holds ``MIN_CONTAINMENT`` of a template that takes
   at least a quarter of it has Jaccard similarity ``s >= 0.16``, and shares a band with it with probability ``1 - (1 - s)^BANDS``, over
   0.9998 for 48 bands. (Classes double, so a template has more than ``c / 2.5`` shingles.)
@@ -23,6 +24,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import materialize
+
 
 SHINGLE_WORDS, MIN_CONTAINMENT, BANDS, SLACK = 5, 0.8, 48, 1.25
 MAX_TEMPLATE_WORDS = 200_000
@@ -94,17 +97,26 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     """
     spark = docs.sparkSession
     rows = _template_rows(spark, TEMPLATES if templates is None else templates)
-    base = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    words = base.where("text is not null").select("doc_id", "row", normal_words(F.col("text")).alias("words"))
+    if not rows:
+        return spark.createDataFrame([], "doc_id long, template string, containment double, start_word long")
+    sizes = sorted({r["size"] for r in rows})
+
+    def wanted(chosen: list[dict]) -> Column:
+        return F.array(*(F.lit(h) for h in sorted({h for r in chosen for h in r["shingles"]})))
+
+    base = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    words = base.where("text is not null").select("doc_id", normal_words(F.col("text")).alias("words"))
+    # the row number is not deterministic to the optimizer, which so keeps the filter above the hashes
+    hashed = words.select("doc_id", F.monotonically_increasing_id().alias("row"), *(shingle_hashes(F.col("words"), k).alias(f"s{k}") for k in sizes))
+    some = reduce(Column.__or__, (F.arrays_overlap(f"s{k}", wanted([r for r in rows if r["size"] == k])) for k in sizes))
+    candidates = materialize(hashed.where((F.col("row") >= 0) & some), "license_candidates")
     found: list[DataFrame] = []
     for size, c in sorted({(r["size"], _class_of(r)) for r in rows}):
         mine = [r for r in rows if (r["size"], _class_of(r)) == (size, c)]
-        wanted = F.array(*(F.lit(h) for h in sorted({h for r in mine for h in r["shingles"]})))
-        texts = words.select("doc_id", "row", shingle_hashes(F.col("words"), size).alias("shingles"), F.monotonically_increasing_id().alias("barrier"))
-        texts = texts.where((F.col("barrier") >= 0) & F.arrays_overlap("shingles", wanted))
+        texts = candidates.select("doc_id", "row", F.col(f"s{size}").alias("shingles")).where(F.arrays_overlap("shingles", wanted(mine)))
         starts = F.sequence(F.lit(0), F.size("shingles") - 1, F.lit(c))
         windows = texts.select("doc_id", "row", F.explode(F.transform(starts, lambda s: F.struct(s.alias("at"), F.slice(F.col("shingles"), s + 1, F.lit(2 * c)).alias("window")))).alias("w"))
-        windows = windows.select("doc_id", "row", "w.at", "w.window").where(F.arrays_overlap("window", wanted))
+        windows = windows.select("doc_id", "row", "w.at", "w.window").where(F.arrays_overlap("window", wanted(mine)))
         keyed = windows.select("doc_id", "row", "at", "window", F.posexplode(_min_hashes(F.col("window"))).alias("band", "key"))
         known = spark.createDataFrame([(r["name"], r["shingles"], band, key) for r in mine for band, key in enumerate(r["mins"])], "template string, known array<long>, band int, key long")
         hits = keyed.join(F.broadcast(known), ["band", "key"]).select("doc_id", "row", "at", "window", "template", "known")
@@ -112,8 +124,6 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
         first = F.array_min(F.transform("known", lambda h: F.nullif(F.array_position(F.col("window"), h), F.lit(0))))
         checked = hits.select("doc_id", "row", "template", share.alias("containment"), (F.col("at") + first - 1).alias("start_word"))
         found.append(checked.where(F.col("containment") >= MIN_CONTAINMENT))
-    if not found:
-        return spark.createDataFrame([], "doc_id long, template string, containment double, start_word long")
     best = reduce(DataFrame.unionByName, found).groupBy("row", "doc_id", "template").agg(F.max(F.struct("containment", (-F.col("start_word")).alias("back"))).alias("best"))
     return best.select("doc_id", "template", F.col("best.containment").alias("containment"), (-F.col("best.back")).cast("bigint").alias("start_word"))
 
