@@ -89,6 +89,15 @@ def _stem_arrays(words: pd.Series) -> pd.Series:
     return words.map(lambda ws: None if ws is None else [None if w is None else stem(w) for w in ws])
 
 
+def _stem_words(words: pd.Series) -> pd.Series:
+    return words.map(lambda w: None if w is None else stem(w))
+
+
+def stem_col(word: Column | str) -> Column:
+    """Stem of one word: for columns of distinct words."""
+    return F.pandas_udf(_stem_words, "string")(word)
+
+
 def stem_all(words: Column | str) -> Column:
     """Stems of arrays of words."""
     return F.pandas_udf(_stem_arrays, "array<string>")(words)

@@ -40,7 +40,10 @@ def keep_terms(tokens: Column, stopwords: Iterable[str] = QUERY_STOPWORDS) -> Co
 
 
 def terms(text: Column, stopwords: Iterable[str] = QUERY_STOPWORDS) -> Column:
-    return keep_terms(raw_tokens(text), stopwords)
+    """``keep_terms(raw_tokens(text))``, by one pattern: letters only, with no token character on either side."""
+    found = F.regexp_extract_all(F.lower(text), F.lit("(?<![a-z0-9_])[a-z]{3,}+(?![a-z0-9_])"), F.lit(0))
+    stop = sorted(set(stopwords))
+    return F.filter(found, lambda t: ~t.isin(stop)) if stop else found
 
 
 def word_array_terms(words: Column, stopwords: Iterable[str] = QUERY_STOPWORDS) -> Column:

@@ -34,8 +34,9 @@ def corpus_size(docs: DataFrame, stopwords=QUERY_STOPWORDS, text_col: str = "tex
 
 def tfidf(counts: DataFrame, size: DataFrame | None = None, log=F.ln) -> DataFrame:
     """``counts`` with ``tf``, ``df``, ``idf`` and ``tfidf``; ``size`` is ``corpus_size`` where the documents are at hand."""
-    n = counts.agg(F.count_distinct("doc_id").alias("n_docs")) if size is None else size
-    by_term = counts.groupBy("term").agg(F.count("*").alias("df"))
+    # both look at ``count`` (it is never 0), so they read the very exchange that the counts are read from
+    n = counts.where("count > 0").agg(F.count_distinct("doc_id").alias("n_docs")) if size is None else size
+    by_term = counts.groupBy("term").agg(F.sum(F.when(F.col("count") > 0, 1)).alias("df"))
     idf = log(F.col("n_docs") / F.greatest(F.col("df"), F.lit(1)))
     weighted = by_term.crossJoin(F.broadcast(n)).select("term", "df", idf.alias("idf"))
     tf = F.try_divide(F.col("count").cast("double"), F.col("total").cast("double"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanery import fixtures as fx
 from gleanery.functions import hashing, html
-from gleanery.functions.stem import stem_all
+from gleanery.functions.stem import stem_col
 from gleanery.functions.text import (
     QUERY_STOPWORDS,
     format_bytes,
@@ -29,7 +29,7 @@ from gleanery.functions.text import (
 )
 from gleanery.operators import index, kvstore, mapreduce, metrics, ngram_index, search
 from gleanery.plans import catalogue
-from gleanery.sources.tables import decode_articles, table
+from gleanery.sources.tables import decode_articles, spread, table
 from gleanery.streaming import crawl
 from gleanery.streaming.incremental import batch_postings
 
@@ -46,7 +46,11 @@ def register(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "source"))
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "pages"))
 
 
 def _counts(spark, d) -> DataFrame:
@@ -489,8 +493,9 @@ def ngram_query(spark, d):
 
 @register()
 def stemmed_terms(spark, d):
-    words = _docs(spark, d).select(stem_all(letter_words(F.col("text"))).alias("w"))
-    return words.select(F.explode("w").alias("stem")).groupBy("stem").agg(F.count("*").alias("n"))
+    """Counted first, so that each distinct word is stemmed once."""
+    words = _docs(spark, d).select(F.explode(letter_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return words.select(stem_col("word").alias("stem"), "n").groupBy("stem").agg(F.sum("n").alias("n"))
 
 
 @register()
@@ -524,12 +529,12 @@ def crawl_scope_links(spark, d):
 
 @register()
 def page_text(spark, d):
-    return table(spark, d, "pages").select("page_id", html.page_text_col("html").alias("text"))
+    return _pages(spark, d).select("page_id", html.page_text_col("html").alias("text"))
 
 
 @register()
 def page_tokens(spark, d):
-    pages = table(spark, d, "pages").select("page_id", html.plain_text_col("html").alias("text"))
+    pages = _pages(spark, d).select("page_id", html.plain_text_col("html").alias("text"))
     return pages.select("page_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("page_id", "term").agg(F.count("*").alias("count"))
 
 

@@ -14,6 +14,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan of fewer splits than cores (a small file of one row group) out to all of them.
+
+    Scans with enough splits, so all large ones, stay as they are: nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
+
+
 def decode_articles(raw: DataFrame, column: str = "raw", schema: str = ARTICLE) -> DataFrame:
     """Articles from JSON, or from JSON wrapped once more as ``{"type": "string", "value": "..."}``; others are left out."""
     plain, wrapped = F.from_json(column, schema), F.from_json(F.get_json_object(column, "$.value"), schema)
