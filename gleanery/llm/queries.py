@@ -77,5 +77,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_REPEATS = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ p AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 34), ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w)),
+ r AS (SELECT k FROM p GROUP BY k HAVING count(*) > 1),
+ c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM p SEMI JOIN r USING (k)),
+ x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM w),
+ kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS said FROM x ANTI JOIN c USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(said, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+_CHATS = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, turn, role, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
+ e AS (SELECT *, length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS shown, length(replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<|', '<\|')) AS named, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ CAST(sum(length(loss)) AS BIGINT) AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn, role, text)) AS loss_sha256,
+ CAST(sum(length('<|im_start|>') + named + 1 + shown + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB twins of the two queries that SQL can express; the others learn, sketch or run tokenizers."""
+    return {"op2_substring_dedup": _REPEATS, "op8_chat_format": _CHATS}
