@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -21,8 +22,12 @@ def scratch_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_SETTING} to a folder that all executors share")
-    spark.conf.set(_SETTING, tempfile.mkdtemp(prefix="gleanery-"))
-    return spark.conf.get(_SETTING)
+    return _local_dir(spark.sparkContext.applicationId)
+
+
+@functools.cache
+def _local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"gleanery-{application}-")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
