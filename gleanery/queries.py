@@ -368,7 +368,6 @@ def boosted_score(spark, d):
 
 _NIDS = "nodes AS (SELECT list_sort(list(sha256('{\"ip\":\"' || ip || '\",\"port\":' || port || '}'))) AS nids FROM " + fx.values_sql(fx.NODES, "ip, port") + ")"
 _KEYS = f"{_NIDS}, k AS (SELECT 'doc-' || doc_id AS key, sha256('\"doc-' || doc_id || '\"') AS kid FROM documents)"
-_HEX = " + ".join(f"(('0x' || substr(kid, {1 + 16 * i}, 16))::UBIGINT::UHUGEINT % n) * ({pow(2, 64 * (3 - i))} % n)" for i in range(4))
 
 
 def _mod_sql(n: int) -> str:
