@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontamination, packing, quality_rules, simhash_dedup, substring_dedup
+from gleanery.llm import decontamination, near_copies, packing, quality_rules, substring_dedup
 from gleanery.llm.scratch import materialize
 
 
@@ -23,14 +23,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: of each group of near copies the document with the smallest id stays.
+    """Near copies of five-word similarity 0.8 or more: of each group the document with the smallest id stays.
 
     Rows that share an id are one document: they stay or go together. Rows without an id stay.
     """
-    groups = simhash_dedup.near_duplicates(docs).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    dropped = materialize(groups, "near_copies")
-    without_id = docs.where("doc_id is null")
-    return docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti").unionByName(without_id).select(*docs.columns)
+    return near_copies.keep_first(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
