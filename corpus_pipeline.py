@@ -23,9 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies of five-word similarity 0.8 or more: of each group the document with the smallest id stays.
+    """Near copies of five-word similarity 0.8 or more: of each group one row stays, by (id, text hash).
 
-    Rows that share an id are one document: they stay or go together. Rows without an id stay.
+    Rows without an id come last in their group.
     """
     return near_copies.keep_first(docs)
 

@@ -131,17 +131,18 @@ def components(prints: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose id near copies, joined over any number of links, have smaller.
+    """One row of each group of near copies, joined over any number of links: the first by (id, text hash).
 
-    Rows that share the kept id all stay, rows without an id stay. Texts without words are copies of each other.
+    Rows are told apart, not ids: of rows that are equal one stays, and an id with two texts can keep either, both or none.
+    Rows without an id come last in their group. Texts without words are copies of each other.
     """
     row = fresh_name(docs, "row")
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     texts = numbered.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text"))
     prints = _prints(texts)
     groups = components(prints, texts)
-    ids = numbered.select(F.col(row).alias("row"), F.col(id_col).cast("bigint").alias("id"))
+    ids = numbered.select(F.col(row).alias("row"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"))
     named = materialize(prints.select("row", "node").join(groups, "node", "left").select("row", F.coalesce("component", "node").alias("group")).join(ids, "row"), "rows_by_group")
-    first = materialize(named.groupBy("group").agg(F.min("id").alias("first")), "first_of_group")
-    dropped = materialize(named.join(first, "group").where("id <> first").select("id").distinct(), "near_copies")
-    return numbered.join(dropped, numbered[id_col].cast("bigint") == dropped["id"], "left_anti").select(*docs.columns)
+    first = named.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "hash", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    dropped = materialize(named.select("row").join(first, "row", "left_anti").withColumnRenamed("row", row), "near_copies")
+    return numbered.join(dropped, row, "left_anti").select(*docs.columns)

@@ -70,6 +70,14 @@ def test_same_documents_stay_as_by_all_pairs(spark, monkeypatch):
     assert kept == set(expected.values())
 
 
+def test_one_row_of_a_group_stays_whatever_its_id(spark):
+    rng = random.Random(4)
+    twice, nameless, one, other = (" ".join(prose(rng, 60)) for _ in range(4))
+    rows = [(1, twice), (1, twice), (None, nameless), (None, nameless), (3, one), (3, other), (2, other + " more"), (None, one)]
+    got = sorted(((r.doc_id, r.text) for r in stage(spark, rows).collect()), key=str)
+    assert got == sorted([(1, twice), (None, nameless), (3, one), (2, other + " more")], key=str)
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = np.random.default_rng(3)
     for _ in range(300):
