@@ -1,7 +1,8 @@
 """Benchmark decontamination: documents that hold a benchmark item within a bounded edit distance.
 
 Texts are compared as lower-cased words without ASCII punctuation. An item of ``n`` words matches a
-passage whose word edit distance is at most ``d = floor(max_edit_share * n)`` (0.2: similarity 0.8).
+passage whose word edit distance is at most ``d = floor(max_edit_share * n)`` (0.2: similarity 0.8); an item
+under five words only matches its very words. A character of a script written without spaces is a word.
 
 * *Windows.* Of ``d + 1`` disjoint pieces of an item, ``d`` edits leave one intact. A document's positions
   of such pieces fix where item-sized windows can start (up to ``d`` words either way); no other
@@ -34,17 +35,19 @@ from pyspark.sql import functions as F
 from .hashing import gram_hashes, mix, word_hashes
 
 MAX_EDIT_SHARE = 0.2
-#: Shorter items cannot be told from common phrases and are left out.
-MIN_ITEM_WORDS = 5
 BLOCK_WORDS = 1_000_000
 WALKS, BANDS, SAMPLES = 4, 12, 2
 _PUNCTUATION = re.compile(rb"[!-/:-@\[-`{-~]")
 _TABLE = bytes(0x20 if _PUNCTUATION.match(bytes([b])) else b for b in range(256))
+#: Thai, Lao, Myanmar, Khmer, kana and Han.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 _END = np.uint64(0x5851F42D4C957F2D)
 
 
 def normal_words(text: str | None) -> list[bytes]:
-    """Lower-cased words; ASCII punctuation counts as white space."""
+    """Lower-cased words; ASCII punctuation counts as white space, an unspaced script's character as a word."""
+    if text and not text.isascii():
+        text = _UNSPACED.sub(r" \1 ", text)
     return text.lower().encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
 
 
@@ -102,7 +105,7 @@ class ItemIndex:
 
     @classmethod
     def build(cls, items: list[tuple[int | None, str | None]], max_edit_share: float) -> ItemIndex:
-        split = [(i, w) for i, t in items if len(w := normal_words(t)) >= MIN_ITEM_WORDS]
+        split = [(i, w) for i, t in items if (w := normal_words(t))]
         self = cls([i for i, _ in split], [word_hashes(w) for _, w in split], [int(max_edit_share * len(w) + 1e-9) for _, w in split])
         pieces: dict[int, list[tuple[int, int, int]]] = {}
         for item, (words, edits) in enumerate(zip(self.words, self.edits, strict=True)):
@@ -126,12 +129,17 @@ class ItemIndex:
     def windows(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (start, size) of the item-sized windows that an intact piece allows."""
         found = []
+        held: set[int] = set()
         for size, (hashes, items, offsets, seen) in self.grams.items():
             grams = gram_hashes(symbols, size)
             at = np.flatnonzero(seen[grams >> np.uint64(44)])
             low, high = np.searchsorted(hashes, grams[at], "left"), np.searchsorted(hashes, grams[at], "right")
             for position, lo, hi in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
                 for entry in range(lo, hi):
+                    if not self.edits[items[entry]]:  # its first passage is its best
+                        if items[entry] in held:
+                            continue
+                        held.add(items[entry])
                     edits, start = self.edits[items[entry]], position - int(offsets[entry])
                     length = len(self.words[items[entry]])
                     found += [(s, length) for s in range(max(0, start - edits), min(start + edits, len(symbols) - 1) + 1)]
@@ -227,7 +235,7 @@ def _blocks(items: DataFrame, item_id: str, item_text: str, max_edit_share: floa
 def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_edit_share: float = MAX_EDIT_SHARE) -> DataFrame:
     """One row per row of ``docs`` and item that it holds: ids, word edit distance and the passage's words.
 
-    Null and empty texts and items, and items under ``MIN_ITEM_WORDS`` words, match nothing. Rows that repeat
+    Null texts and items, and those without words, match nothing. Rows that repeat
     an id each give their rows; null ids are kept. Empty tables give an empty result.
     """
     source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))

@@ -87,3 +87,13 @@ def test_edges(spark):
     assert dc.contaminations(docs, items.limit(0)).count() == 0
     assert dc.contaminations(docs.limit(0), items).count() == 0
     assert dc.drop_contaminated(docs, items).count() == 3
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    han = "".join(chr(0x4E00 + 37 * i) for i in range(30))
+    texts = [(1, "before Four, little words here after four little words here"), (2, "four little other words here"), (3, "甲乙" + han[:10] + "丙" + han[11:] + "丁"), (4, "xFour y"), (5, "go " * 20000 + "four"), (6, "甲乙丙丁")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    items = spark.createDataFrame([(1, "four little words here"), (2, "go"), (3, han), (4, "?!")], "item_id long, text string")
+    got = sorted(tuple(r) for r in dc.contaminations(docs, items).collect())
+    assert got == [(1, 1, 0, 1, 5), (3, 3, 1, 2, 32), (5, 2, 0, 0, 1)]
+    assert {r.doc_id for r in dc.drop_contaminated(docs, items).collect()} == {2, 4, 6}
