@@ -7,7 +7,8 @@ shingle). The plan is exact, not sampled:
 2. prefix filter: under one order of all shingles, two sets of that similarity share one of the first ``n // 5 + 1`` of each.
    Any order is right; shingles that a sample of the texts shows to be common come last, so prefixes hold rare ones;
 3. the nodes of a prefix shingle are first held against its smallest and its largest node only, so a large
-   group of near copies costs its size. What is then still apart, and of fitting size, is compared pair by pair;
+   group of near copies costs its size. What is then still apart is paired up, with the number of shared prefix
+   shingles: what lies beyond a prefix of ``p`` of ``n`` adds ``n - p`` at most, so too few of them rule a pair out;
 4. a pair links if the whole sets say so.
 """
 
@@ -29,7 +30,9 @@ SHINGLE_WORDS = 5
 #: The least similarity, as a fraction.
 LEAST, OF = 4, 5
 #: One text in so many shows which shingles are common: those in so many sampled texts, up to a number of them.
-SAMPLE, COMMON, MOST_COMMON = 16, 4, 500_000
+SAMPLE, COMMON, MOST_COMMON = 8, 3, 500_000
+#: A node is held against an end of its prefix shingles if they share one in so many of its shingles.
+END_SHARE = 16
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -54,8 +57,8 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text in batch.column(0):
-            yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py()).view(np.int64))], ["shingle"])
+        sets = [shingle_set(t.as_py()) for t in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))], ["shingle"])
 
 
 def _common(texts: DataFrame) -> np.ndarray:
@@ -115,8 +118,9 @@ def components(prints: DataFrame, texts: DataFrame) -> DataFrame:
     entries = prints.select("node", "n", F.explode("keys").alias("key"))
     ends = materialize(entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high"), "prefix_ends")
     shared = materialize(entries.join(ends, "key"), "shared_prefixes")
-    ends_of = shared.select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
-    tried = materialize(ends_of.select(*_ordered("node", "end")).distinct(), "end_pairs")
+    ends_of = shared.select("node", "n", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
+    often = ends_of.groupBy("node", "n", "end").agg(F.count("*").alias("c")).where(F.col("c") * END_SHARE > F.col("n"))
+    tried = materialize(often.select(*_ordered("node", "end")).distinct(), "end_pairs")
     links = _links(tried, prints, texts)
     grouped = materialize(connected_components(links), "end_groups")
     named = shared.join(grouped, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("group"))
@@ -124,7 +128,10 @@ def components(prints: DataFrame, texts: DataFrame) -> DataFrame:
     rest = materialize(named.join(mixed, "key", "left_semi").distinct(), "prefixes_apart")
     x, y = (rest.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "group"))) for side in "xy")
     apart = x.join(y, "key").where((F.col("group_x") < F.col("group_y")) & _fits(F.col("n_x"), F.col("n_y")))
-    pairs = materialize(apart.select(*_ordered("node_x", "node_y")).distinct().join(tried, ["src", "dst"], "left_anti"), "pairs_apart")
+    met = apart.groupBy("node_x", "n_x", "node_y", "n_y").agg(F.count("*").alias("c"))
+    beyond = F.greatest("n_x", "n_y") - F.floor(F.greatest("n_x", "n_y") * (OF - LEAST) / OF) - 1
+    near = met.where((F.col("c") + beyond) * (LEAST + OF) >= LEAST * (F.col("n_x") + F.col("n_y")))
+    pairs = materialize(near.select(*_ordered("node_x", "node_y")).join(tried, ["src", "dst"], "left_anti"), "pairs_apart")
     if pairs.isEmpty():
         return grouped
     return materialize(connected_components(links.unionByName(_links(pairs, prints, texts))), "near_groups")
