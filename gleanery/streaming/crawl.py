@@ -13,11 +13,12 @@ def frontier_round(frontier: DataFrame, visited: DataFrame, edges: DataFrame) ->
     return found.join(visited, "url", "left_anti").join(frontier.select("url"), "url", "left_anti")
 
 
-def crawl(edges: DataFrame, seeds: DataFrame, folder: str, max_rounds: int = 50) -> DataFrame:
+def crawl(edges: DataFrame, seeds: DataFrame, folder: str, max_rounds: int | None = None) -> DataFrame:
     """``url``, ``depth`` of every url reachable over ``edges`` (src, dst) from the seeds, in rounds.
 
     Each round is a table under ``folder`` (on a cluster: a shared one), so rounds survive lost executors, lineage stays short,
-    and a crawl can be taken up again from what is there.
+    and a crawl can be taken up again from what is there. Rounds go on until the frontier is empty; with ``max_rounds``,
+    a frontier left after so many raises an error.
     """
     spark = edges.sparkSession
     path = f"{folder.rstrip('/')}/crawl-{uuid.uuid4().hex}"
@@ -28,9 +29,11 @@ def crawl(edges: DataFrame, seeds: DataFrame, folder: str, max_rounds: int = 50)
 
     frontier = save(seeds.select("url").where("url is not null").distinct(), 0)
     visited = frontier
-    for depth in range(1, max_rounds + 1):
-        if frontier.isEmpty():
-            break
+    depth = 0
+    while not frontier.isEmpty():
+        if depth == max_rounds:
+            raise RuntimeError(f"the crawl has pages left after {max_rounds} rounds")
+        depth += 1
         frontier = save(frontier_round(frontier, visited.select("url"), edges), depth)
         visited = visited.unionByName(frontier)
     return visited

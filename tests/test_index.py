@@ -175,3 +175,11 @@ def test_metrics(spark):
     times = spark.createDataFrame([("n", i, i * 10) for i in range(20)], "node string, seq long, ms long")
     assert sorted(r.seq for r in metrics.recent(times).collect()) == [15, 16, 17, 18, 19]
     assert metrics.distinct_nodes(spark.createDataFrame([("a", 1), ("a", 1), ("a", 2)], "ip string, port int")).count() == 2
+
+
+def test_a_crawl_goes_on_to_the_end_or_says_so(spark, tmp_path):
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(55)], "src string, dst string").coalesce(1).cache()
+    seeds = spark.createDataFrame([("0",)], "url string")
+    assert crawl.crawl(edges, seeds, str(tmp_path)).agg(F.max("depth")).first()[0] == 55
+    with pytest.raises(RuntimeError):
+        crawl.crawl(edges, seeds, str(tmp_path), max_rounds=2)
