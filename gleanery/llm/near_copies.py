@@ -5,7 +5,7 @@ shingle). The plan is exact, not sampled:
 
 1. equal sets collapse to one *node*, named by a hash of the set;
 2. prefix filter: under one order of all shingles, two sets of that similarity share one of the first ``n // 5 + 1`` of each.
-   Any order is right; shingles that a sample of the texts shows to be common come last, so prefixes hold rare ones;
+   Any order is right; shingles that a sample of the texts shows to be common come last, the commonest at the end;
 3. the nodes of a prefix shingle are first held against its smallest and its largest node only, so a large
    group of near copies costs its size. What is then still apart is paired up, with the number of shared prefix
    shingles: what lies beyond a prefix of ``p`` of ``n`` adds ``n - p`` at most, so too few of them rule a pair out;
@@ -31,6 +31,8 @@ SHINGLE_WORDS = 5
 LEAST, OF = 4, 5
 #: One text in so many shows which shingles are common: those in so many sampled texts, up to a number of them.
 SAMPLE, COMMON, MOST_COMMON = 8, 3, 500_000
+#: Texts or pairs that a worker holds as sets at a time.
+BATCH_ROWS = 512
 #: A node is held against an end of its prefix shingles if they share one in so many of its shingles.
 END_SHARE = 16
 
@@ -41,13 +43,17 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(gram_hashes(word_hashes(words), min(SHINGLE_WORDS, len(words)))) if words else np.empty(0, np.uint64)
 
 
-def prefix(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, one of which any set of the least similarity has among its own first ones."""
+def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, one of which any set of the least similarity has among its own first ones.
+
+    Shingles of ``common`` (sorted) come after all others, by their ``counts``.
+    """
     n = len(shingles)
-    if not n:
-        return shingles
-    late = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles if len(common) else np.zeros(n, bool)
-    return np.concatenate([shingles[~late], shingles[late]])[: n + (-LEAST * n) // OF + 1]
+    rank = np.zeros(n, np.int64)
+    if n and len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        rank = np.where(common[at] == shingles, counts[at], 0)
+    return shingles[np.argsort(rank, kind="stable")][: n + (-LEAST * n) // OF + 1] if n else shingles
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -56,16 +62,24 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _small(batches):
         sets = [shingle_set(t.as_py()) for t in batch.column(0)]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))], ["shingle"])
 
 
-def _common(texts: DataFrame) -> np.ndarray:
+def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).select("text")
-    counts = sample.mapInArrow(_sampled, "shingle bigint").groupBy("shingle").count().where(F.col("count") >= COMMON)
-    most = counts.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).select("shingle").toArrow()
-    return np.sort(most.column(0).to_numpy().astype(np.int64).view(np.uint64))
+    found = sample.mapInArrow(_sampled, "shingle bigint").groupBy("shingle").count().where(F.col("count") >= COMMON)
+    most = found.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).toArrow()
+    shingles, counts = (most.column(i).to_numpy().astype(np.int64) for i in range(2))
+    order = np.argsort(shingles.view(np.uint64))
+    return shingles.view(np.uint64)[order], counts[order]
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
 
 
 def _prints(texts: DataFrame) -> DataFrame:
@@ -73,22 +87,22 @@ def _prints(texts: DataFrame) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(_common(texts))
 
     def scan(batches):
-        for batch in batches:
+        for batch in _small(batches):
             sets = [shingle_set(t.as_py()) for t in batch.column(1)]
             nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
-            keys = pa.array([prefix(s, shared.value).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            keys = pa.array([prefix(s, *shared.value).view(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(list(map(len, sets)), pa.int32()), keys], ["row", "node", "n", "keys"])
 
     return materialize(texts.select("row", "text").mapInArrow(scan, "row bigint, node bigint, n int, keys array<bigint>"), "shingle_prefixes")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _small(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["node", "held"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _small(batches):
         held = zip(batch.column(2), batch.column(3), strict=True)
         keep = [similar(*(np.frombuffer(x.as_py(), np.uint64) for x in pair)) for pair in held]
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))

@@ -84,8 +84,9 @@ def test_prefixes_of_similar_sets_meet():
         a = np.unique(rng.integers(0, 2**63, rng.integers(1, 60), dtype=np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.93], rng.integers(0, 2**63, rng.integers(0, 4), dtype=np.uint64)]))
         common = a[rng.random(len(a)) < 0.4]
+        counts = rng.integers(3, 9, len(common))
         if len(b) and nc.similar(a, b):
-            assert set(nc.prefix(a, common)) & set(nc.prefix(b, common))
+            assert set(nc.prefix(a, common, counts)) & set(nc.prefix(b, common, counts))
 
 
 def test_empty_table(spark):
