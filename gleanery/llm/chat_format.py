@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import lean
+
 Chunk = tuple[str, bool]
 Scope = dict[str, Any]
 
@@ -420,7 +422,7 @@ def digests(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
     without a conversation are one conversation. An empty table gives an empty result.
     """
     rows = _sorted_rows(conversations, conv_col, turn_col, role_col, text_col)
-    return rows.mapInArrow(lambda b: _digest_partition(b, template), _DIGESTS)
+    return rows.mapInArrow(lean(lambda b: _digest_partition(b, template)), _DIGESTS)
 
 
 def _format_partition(batches: Iterator[pa.RecordBatch], template: str) -> Iterator[pa.RecordBatch]:
@@ -442,4 +444,4 @@ def _format_partition(batches: Iterator[pa.RecordBatch], template: str) -> Itera
 def format_conversations(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", template: str = TEMPLATE) -> DataFrame:
     """``conv_id``, ``formatted`` text and ``loss_spans`` (code point ranges under the loss mask)."""
     rows = _sorted_rows(conversations, conv_col, turn_col, role_col, text_col)
-    return rows.mapInArrow(lambda b: _format_partition(b, template), "conv_id bigint, formatted string, loss_spans array<struct<`from`: bigint, `to`: bigint>>")
+    return rows.mapInArrow(lean(lambda b: _format_partition(b, template)), "conv_id bigint, formatted string, loss_spans array<struct<`from`: bigint, `to`: bigint>>")

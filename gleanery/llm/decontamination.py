@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import gram_hashes, mix, word_hashes
+from .scratch import lean
 
 MAX_EDIT_SHARE = 0.2
 BLOCK_WORDS = 1_000_000
@@ -250,7 +251,7 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "edit_distance", "start_word", "end_word"])
 
-        part = source.mapInArrow(scan, _SCHEMA)
+        part = source.mapInArrow(lean(scan), _SCHEMA)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -266,5 +267,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
                 held = {row for row, *_ in shared.value.matches(batch.column(at).to_pylist())}
                 yield batch.filter(pa.array([i not in held for i in range(batch.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(scan, docs.schema)
+        docs = docs.mapInArrow(lean(scan), docs.schema)
     return docs

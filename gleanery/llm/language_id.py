@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import lean, materialize
 
 SAMPLE_DOCS = 20_000
 MODEL_WORDS, MODEL_GRAMS = 120_000, 240_000
@@ -150,8 +150,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = rows.where(~held_out(F.col("i")))
     chosen = rows.select("i").orderBy(F.xxhash64("i"), "i").limit(sample_docs).distinct()
     sample = rows.join(F.broadcast(chosen), "i", "left_semi").select("lang", "text")
-    words = materialize(sample.mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "word_counts")
-    grams = words.mapInArrow(_count_grams, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    words = materialize(sample.mapInArrow(lean(_count_words), "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "word_counts")
+    grams = words.mapInArrow(lean(_count_grams), "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     languages = max(1, words.select("lang").distinct().count())
 
     def top(counts: DataFrame, key: str, size: int) -> list[tuple[str, str, int]]:
@@ -178,4 +178,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     doc = docs[id_col].cast("bigint")
     source = docs.select(doc.alias("doc_id"), held_out(docs[id_col]).alias("held_out"), docs[text_col].cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return source.mapInArrow(lean(run), "doc_id bigint, held_out boolean, lang_pred string, score double")

@@ -1,15 +1,20 @@
-"""Near copies by word shingles: every pair of texts with Jaccard similarity of at least 0.8, and their groups.
+"""Operator 6 at a similarity: near copies of five-word similarity 0.8 or more, and their groups.
 
 A text is its set of ``SHINGLE_WORDS``-word shingles (64-bit hashes of words with A-Z lower-cased; a shorter text is one
-shingle). The plan is exact, not sampled:
+shingle). Two sets of that similarity differ in some 10 of the 64 SimHash bits, 18 at the most likely worst, which no
+choice of bit blocks can route; so shared rare shingles bring fingerprints together, and the Gray-order index finds
+the pairs there. The plan is exact, not sampled:
 
 1. equal sets collapse to one *node*, named by a hash of the set;
-2. prefix filter: under one order of all shingles, two sets of that similarity share one of the first ``n // 5 + 1`` of each.
-   Any order is right; shingles that a sample of the texts shows to be common come last, the commonest at the end;
-3. the nodes of a prefix shingle are first held against its smallest and its largest node only, so a large
-   group of near copies costs its size. What is then still apart is paired up, with the number of shared prefix
-   shingles: what lies beyond a prefix of ``p`` of ``n`` adds ``n - p`` at most, so too few of them rule a pair out;
-4. a pair links if the whole sets say so.
+2. under one order of all shingles, two such sets share at least ``1 + n // 25`` of the first ``n // 5 + 1 + n // 20``
+   of each. Any order is right; shingles that a sample of the texts shows to be common come last, the commonest at the
+   end. Nodes that share fewer than that with all others together are alone and leave;
+3. a shared shingle sends its nodes to the smallest of them, its *pivot*; a node that meets a pivot in too few of its
+   shingles stays away (the shared ones of a linked pair are dealt over so many pivots that one holds enough);
+4. a pivot's bucket is cut into blocks of bounded size that meet pairwise. In a task, the block's fingerprints are
+   sorted by Gray rank under the hierarchical index of ``simhash_dedup``; pairs within ``SKETCH_BITS`` that are still
+   apart are compared as whole sets. What is apart then is compared whatever its bits, so no link is lost;
+5. only a spanning forest of a block's links leaves the task.
 """
 
 from __future__ import annotations
@@ -23,18 +28,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import gram_hashes, word_hashes
-from .scratch import fresh_name, materialize
-from .simhash_dedup import connected_components
+from .scratch import fresh_name, lean, materialize
+from .simhash_dedup import Forest, connected_components, gray_ranks, index_levels, index_pairs, sign_bits
 
 SHINGLE_WORDS = 5
 #: The least similarity, as a fraction.
 LEAST, OF = 4, 5
+#: Prefixes hold one in so many shingles more than needed, so that linked sets share one in ``SHARE`` at least.
+LONGER, SHARE = 20, 25
 #: One text in so many shows which shingles are common: those in so many sampled texts, up to a number of them.
 SAMPLE, COMMON, MOST_COMMON = 8, 3, 500_000
-#: Texts or pairs that a worker holds as sets at a time.
-BATCH_ROWS = 512
-#: A node is held against an end of its prefix shingles if they share one in so many of its shingles.
-END_SHARE = 16
+#: Texts that a worker holds as sets at a time, and shingles of a block.
+BATCH_ROWS, BLOCK_SHINGLES = 512, 1 << 17
+#: Bits of 64 in which the index lets two fingerprints differ.
+SKETCH_BITS = 18
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -44,7 +51,7 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 
 def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, one of which any set of the least similarity has among its own first ones.
+    """The first shingles of a set, of which any set of the least similarity has enough among its own first ones.
 
     Shingles of ``common`` (sorted) come after all others, by their ``counts``.
     """
@@ -53,12 +60,7 @@ def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.n
     if n and len(common):
         at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
         rank = np.where(common[at] == shingles, counts[at], 0)
-    return shingles[np.argsort(rank, kind="stable")][: n + (-LEAST * n) // OF + 1] if n else shingles
-
-
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return OF * both >= LEAST * (len(a) + len(b) - both)
+    return shingles[np.argsort(rank, kind="stable")][: n + (-LEAST * n) // OF + 1 + n // LONGER] if n else shingles
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,8 +70,9 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that the sample shows to be common, sorted, and their counts. They order the shingles and decide no link."""
     sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).select("text")
-    found = sample.mapInArrow(_sampled, "shingle bigint").groupBy("shingle").count().where(F.col("count") >= COMMON)
+    found = sample.mapInArrow(lean(_sampled), "shingle bigint").groupBy("shingle").count().where(F.col("count") >= COMMON)
     most = found.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).toArrow()
     shingles, counts = (most.column(i).to_numpy().astype(np.int64) for i in range(2))
     order = np.argsort(shingles.view(np.uint64))
@@ -93,69 +96,127 @@ def _prints(texts: DataFrame) -> DataFrame:
             keys = pa.array([prefix(s, *shared.value).view(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(list(map(len, sets)), pa.int32()), keys], ["row", "node", "n", "keys"])
 
-    return materialize(texts.select("row", "text").mapInArrow(scan, "row bigint, node bigint, n int, keys array<bigint>"), "shingle_prefixes")
+    return materialize(texts.select("row", "text").mapInArrow(lean(scan), "row bigint, node bigint, n int, keys array<bigint>"), "shingle_prefixes")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _small(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["node", "held"])
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _small(batches):
-        held = zip(batch.column(2), batch.column(3), strict=True)
-        keep = [similar(*(np.frombuffer(x.as_py(), np.uint64) for x in pair)) for pair in held]
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-
-def _links(pairs: DataFrame, prints: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (``src``, ``dst``, distinct) that are similar."""
-    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    first = materialize(prints.groupBy("node").agg(F.min("row").alias("row")).join(wanted, "node", "left_semi"), "compared")
-    sets = materialize(texts.join(first, "row").select("node", "text").mapInArrow(_sets, "node bigint, held binary"), "shingle_sets")
-    left, right = sets.select(F.col("node").alias("src"), F.col("held").alias("a")), sets.select(F.col("node").alias("dst"), F.col("held").alias("b"))
-    fits = _fits(F.octet_length("a"), F.octet_length("b"))
-    both = pairs.join(left, "src").join(right, "dst").where(fits).select("src", "dst", "a", "b")
-    return materialize(both.mapInArrow(_verify, "src bigint, dst bigint"), "near_links")
+        sets = [shingle_set(t.as_py()) for t in batch.column(1)]
+        sketches = np.fromiter(map(sign_bits, sets), np.uint64, len(sets)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "sketch", "held"])
+
+
+def _alike(both, a, b):
+    return OF * both >= LEAST * (a + b - both)
+
+
+def block_roots(sketches: np.ndarray, sets: list[np.ndarray], max_bits: int = SKETCH_BITS) -> np.ndarray:
+    """A member of each one's group, for the sets of a block: pairs of the index first, then what is still apart."""
+    forest, n = Forest(len(sets)), np.fromiter(map(len, sets), np.int64, len(sets))
+    order = np.argsort(gray_ranks(sketches))
+    levels = index_levels(sketches[order])
+    for left, right in index_pairs(levels, levels, max_bits, same=True):
+        left, right = order[left], order[right]
+        nearest = np.argsort(np.bitwise_count(sketches[left] ^ sketches[right]), kind="stable")
+        left, right = left[nearest], right[nearest]
+        fits = OF * np.minimum(n[left], n[right]) >= LEAST * np.maximum(n[left], n[right])
+        left, right = left[fits], right[fits]
+        while len(left):
+            a, b = int(left[0]), int(right[0])
+            if _alike(len(np.intersect1d(sets[a], sets[b], assume_unique=True)), n[a], n[b]):
+                forest.add(left[:1], right[:1])
+                left, right = left[1:], right[1:]
+                apart = forest.root[left] != forest.root[right]
+                left, right = left[apart], right[apart]
+            else:
+                left, right = left[1:], right[1:]
+    _rest(forest, sets, n)
+    return forest.root
+
+
+def _rest(forest: Forest, sets: list[np.ndarray], n: np.ndarray) -> None:
+    """Links between groups that the index leaves apart: each set outside the largest group against all others at once."""
+    roots, sizes = np.unique(forest.root, return_counts=True)
+    if len(roots) == 1:
+        return
+    flat = np.concatenate(sets)
+    by = np.argsort(flat, kind="stable")
+    flat, owner = flat[by], np.repeat(np.arange(len(sets)), n)[by]
+    for a in np.flatnonzero(forest.root != roots[np.argmax(sizes)]).tolist():
+        first, last = np.searchsorted(flat, sets[a], "left"), np.searchsorted(flat, sets[a], "right")
+        run = last - first
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(run)[:-1]]), run) + np.arange(run.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        near = np.flatnonzero(_alike(both, n[a], n) & (forest.root != forest.root[a]))
+        if len(near):
+            forest.add(np.full(len(near), a), near)
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (pivot, low, high, node, sketch, held) sorted by block to spanning links (src, dst)."""
+    held: list[tuple] = []
+    name = None
+
+    def flush():
+        nodes, sketches = (np.array([row[i] for row in held], np.int64) for i in (0, 1))
+        root = block_roots(sketches.view(np.uint64), [row[2] for row in held])
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        if len(linked):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[root[linked]])], ["src", "dst"])
 
-
-def _fits(a, b):
-    return OF * F.least(a, b).cast("bigint") >= LEAST * F.greatest(a, b).cast("bigint")
-
-
-def _ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")]
+    for batch in batches:
+        for pivot, low, high, node, sketch, shingles in zip(*batch.columns, strict=True):
+            now = pivot.as_py(), low.as_py(), high.as_py()
+            if now != name and held:
+                yield from flush()
+                held = []
+            name = now
+            held.append((node.as_py(), sketch.as_py(), np.frombuffer(shingles.as_py(), np.uint64)))
+    if held:
+        yield from flush()
+
+
+def _pivots(entries: DataFrame, name: str) -> DataFrame:
+    """``key`` and its smallest node as ``pivot``, of the keys of two nodes or more."""
+    ends = entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("high"))
+    return materialize(ends.where("pivot <> high").select("key", "pivot"), name)
+
+
+def _meetings(prints: DataFrame) -> DataFrame:
+    """``pivot``, ``low``, ``high`` (blocks) and ``node``: what meets where."""
+    need = F.floor(F.col("n") / SHARE) + 1
+    entries = prints.select("node", "n", F.explode("keys").alias("key"))
+    shared = materialize(entries.join(_pivots(entries, "prefix_pivots"), "key").select("key", "node", "n").distinct(), "shared_prefixes")
+    enough = materialize(shared.groupBy("node", "n").agg(F.count("*").alias("c")).where(F.col("c") >= need).select("node"), "nodes_in_company")
+    company = materialize(shared.join(enough, "node"), "prefixes_in_company")
+    met = materialize(company.join(_pivots(company, "pivots_in_company"), "key").groupBy("pivot", "node", "n").agg(F.count("*").alias("c")), "pivots_met")
+    dealt = met.groupBy("node").agg(F.count("*").alias("pivots"))
+    close = materialize(met.join(dealt, "node").where(F.col("c") * F.col("pivots") >= need).select("pivot", "node", "n"), "close_pivots")
+    sizes = close.groupBy("pivot").agg(F.count("*").alias("rows"), F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")).where("rows > 1")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = close.join(materialize(sizes.select("pivot", "blocks"), "pivot_blocks"), "pivot").select("pivot", "node", "blocks", mine.alias("mine"))
+    other = F.explode(F.expr("if(blocks = 1, array(0), filter(sequence(0, blocks - 1), x -> x <> mine))")).alias("other")
+    pairs = placed.select("pivot", "node", "mine", other)
+    return materialize(pairs.select("pivot", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "node"), "meetings")
 
 
 def components(prints: DataFrame, texts: DataFrame) -> DataFrame:
     """``node``, ``component`` of every node with a link."""
-    entries = prints.select("node", "n", F.explode("keys").alias("key"))
-    ends = materialize(entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high"), "prefix_ends")
-    shared = materialize(entries.join(ends, "key"), "shared_prefixes")
-    ends_of = shared.select("node", "n", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
-    often = ends_of.groupBy("node", "n", "end").agg(F.count("*").alias("c")).where(F.col("c") * END_SHARE > F.col("n"))
-    tried = materialize(often.select(*_ordered("node", "end")).distinct(), "end_pairs")
-    links = _links(tried, prints, texts)
-    grouped = materialize(connected_components(links), "end_groups")
-    named = shared.join(grouped, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("group"))
-    mixed = materialize(named.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key"), "mixed_prefixes")
-    rest = materialize(named.join(mixed, "key", "left_semi").distinct(), "prefixes_apart")
-    x, y = (rest.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "group"))) for side in "xy")
-    apart = x.join(y, "key").where((F.col("group_x") < F.col("group_y")) & _fits(F.col("n_x"), F.col("n_y")))
-    met = apart.groupBy("node_x", "n_x", "node_y", "n_y").agg(F.count("*").alias("c"))
-    beyond = F.greatest("n_x", "n_y") - F.floor(F.greatest("n_x", "n_y") * (OF - LEAST) / OF) - 1
-    near = met.where((F.col("c") + beyond) * (LEAST + OF) >= LEAST * (F.col("n_x") + F.col("n_y")))
-    pairs = materialize(near.select(*_ordered("node_x", "node_y")).join(tried, ["src", "dst"], "left_anti"), "pairs_apart")
-    if pairs.isEmpty():
-        return grouped
-    return materialize(connected_components(links.unionByName(_links(pairs, prints, texts))), "near_groups")
+    meetings = _meetings(prints)
+    wanted = meetings.select("node").distinct()
+    first = materialize(prints.groupBy("node").agg(F.min("row").alias("row")).join(wanted, "node", "left_semi"), "compared")
+    sets = materialize(texts.join(first, "row").select("node", "text").mapInArrow(lean(_sets), "node bigint, sketch bigint, held binary"), "shingle_sets")
+    blocks = meetings.join(sets, "node").select("pivot", "low", "high", "node", "sketch", "held")
+    sorted_blocks = blocks.repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high")
+    return connected_components(materialize(sorted_blocks.mapInArrow(lean(_block_links), "src bigint, dst bigint"), "near_links"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near copies, joined over any number of links: the first by (id, text hash).
 
     Rows are told apart, not ids: of rows that are equal one stays, and an id with two texts can keep either, both or none.
-    Rows without an id come last in their group. Texts without words are copies of each other.
+    Rows without an id come last in their group. Texts without words are copies of each other. An empty table stays
+    empty, and extra columns are kept whatever their names. Runs jobs while it is called.
     """
     row = fresh_name(docs, "row")
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")

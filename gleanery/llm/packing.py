@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import materialize
+from .scratch import lean, materialize
 from .tokens import default_path, encoder
 
 CAPACITY = 1024
@@ -181,7 +181,7 @@ def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Pieces of each document's ids (its tokens, then ``end_id``), cut at multiples of ``capacity``."""
     path = tokenizer_path or default_path()
     source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return source.mapInArrow(lambda b: _cut_documents(b, path, capacity, end_id), _PIECES)
+    return source.mapInArrow(lean(lambda b: _cut_documents(b, path, capacity, end_id)), _PIECES)
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +229,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     pieces = materialize(pieces, "pieces")
     ordered = pieces.repartitionByRange("length", "doc_id", "start", "ids_crc32").sortWithinPartitions("length", "doc_id", "start", "ids_crc32")
-    numbered = materialize(ordered.mapInArrow(_number, _PIECES + ", part int, position bigint"), "numbered_pieces")
+    numbered = materialize(ordered.mapInArrow(lean(_number), _PIECES + ", part int, position bigint"), "numbered_pieces")
     counts = numbered.groupBy("length", "part").agg(F.count("*").alias("n")).orderBy("length", "part").collect()
     histogram: dict[int, int] = {}
     offsets = []

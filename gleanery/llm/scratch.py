@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
@@ -40,6 +44,40 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(step: Callable) -> Callable:
+    """``step`` over small Arrow batches; its worker gives its free memory back when the task ends.
+
+    Workers live through many tasks, and what one stage has touched would stay with them in the next.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(_cut_small(batches))
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if (trim := getattr(_c_library(), "malloc_trim", None)) is not None:
+                trim(0)
+
+    return run
+
+
+#: Rows and bytes of the batches that a step sees; a single longer row is a batch of its own.
+_STEP_ROWS, _STEP_BYTES = 2048, 4 << 20
+
+
+def _cut_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = max(1, min(_STEP_ROWS, batch.num_rows * _STEP_BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+@functools.cache
+def _c_library():
+    return ctypes.CDLL(None)
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` has not, so extra columns never clash."""
     taken = {c.lower() for c in df.columns}

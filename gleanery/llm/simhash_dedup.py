@@ -7,11 +7,12 @@ Fingerprints of 64 bits link when at most ``max_bits`` of them differ. The plan:
 2. bits are dealt into ``max_bits + 2`` blocks. Two linked fingerprints agree on at least two whole
    blocks, so each node is routed once per pair of blocks, to the bucket of those bits (15 pairs of
    about 21 bits for four differing bits). That is exact and grows linearly;
-3. within a bucket, rows arrive sorted by Gray rank (range partitioning splits a large bucket over
-   many tasks) and are cut into blocks. Neighbours in Gray order share most bits, so each run of
+3. within a bucket of any size, rows arrive sorted by Gray rank (range partitioning splits a large bucket
+   over many tasks) and are cut into blocks. Neighbours in Gray order share most bits, so each run of
    rows is summed up in an index node: the mask of bits all of them share and their pattern.
    A pair of nodes is pruned as a whole when their patterns already differ in more than
-   ``max_bits`` shared bits; what is left is refined level by level down to single fingerprints;
+   ``max_bits`` shared bits; what is left is refined level by level down to single fingerprints. Every
+   link comes through this index;
 4. only a spanning forest of a block's links leaves the task, never all pairs. Blocks of one bucket
    that ended up in different tasks meet pairwise as packed blocks, pruned by the same node test;
 5. components come from alternating large-star/small-star rounds on the links, each written to the
@@ -29,12 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import lean, materialize
 
 SEED = 42
 BITS = 64
-#: Rows of one packed index block, fan-out of an index node, and the largest bucket compared without an index.
-BLOCK_ROWS, FANOUT, FLAT_ROWS = 4096, 16, 48
+#: Rows of one packed index block, and fan-out of an index node.
+BLOCK_ROWS, FANOUT = 4096, 16
 
 
 def fingerprint(text: str | None, shingle_words: int = 4) -> int:
@@ -48,12 +49,16 @@ def fingerprint(text: str | None, shingle_words: int = 4) -> int:
     else:
         count = len(words) - shingle_words + 1
         shingles = map(b" ".join, zip(*(words[i : i + count] for i in range(shingle_words)), strict=True))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, count)
+    return sign_bits(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, count))
+
+
+def sign_bits(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, count, 1 << 16):
+    for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > count, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
@@ -65,7 +70,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iter
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4) -> DataFrame:
     """``doc_id``, ``fp`` (the 64 bits as a signed long) of every row; a null text has fingerprint 0."""
     source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return source.mapInArrow(lambda b: _fingerprints(b, shingle_words), "doc_id bigint, fp bigint")
+    return source.mapInArrow(lean(lambda b: _fingerprints(b, shingle_words)), "doc_id bigint, fp bigint")
 
 
 def _block_masks(max_bits: int) -> list[int]:
@@ -86,39 +91,61 @@ def _gray_rank(fp):
 # --- the index -------------------------------------------------------------------------------
 
 
-def _levels(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Index levels from single fingerprints up: (pattern, mask of shared bits) of each node."""
+def gray_ranks(fps: np.ndarray) -> np.ndarray:
+    """Positions in the reflected Gray sequence."""
+    rank = fps
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank = rank ^ (rank >> np.uint64(shift))
+    return rank
+
+
+def _ragged(counts: np.ndarray) -> np.ndarray:
+    """0..c-1 for each count, one after the other."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def index_levels(fps: np.ndarray, starts=(0,)) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index levels over Gray-ordered buckets, from single fingerprints up to one root a bucket.
+
+    Each node has the pattern and the mask of the bits that all below it share, and the borders of its children.
+    ``starts`` are the first rows of the buckets; no node spans two of them.
+    """
     pattern, mask = fps, np.full(len(fps), np.uint64(0xFFFFFFFFFFFFFFFF))
-    levels = [(pattern, mask)]
-    while len(pattern) > 1:
-        starts = np.arange(0, len(pattern), FANOUT)
-        ones = np.bitwise_and.reduceat(pattern & mask, starts)
-        zeros = np.bitwise_and.reduceat(~pattern & mask, starts)
+    cuts = np.asarray(starts, np.int64)
+    levels = [(pattern, mask, np.arange(len(fps) + 1))]
+    while len(pattern) > len(cuts):
+        groups = -(-np.diff(np.append(cuts, len(pattern))) // FANOUT)
+        first = np.repeat(cuts, groups) + FANOUT * _ragged(groups)
+        borders = np.append(first, len(pattern))
+        ones = np.bitwise_and.reduceat(pattern & mask, first)
+        zeros = np.bitwise_and.reduceat(~pattern & mask, first)
         pattern, mask = ones, ones | zeros
-        levels.append((pattern, mask))
+        cuts = np.cumsum(groups) - groups
+        levels.append((pattern, mask, borders))
     return levels
 
 
-def _children(left: np.ndarray, right: np.ndarray, n_left: int, n_right: int) -> tuple[np.ndarray, np.ndarray]:
-    step = np.arange(FANOUT)
-    a = (left[:, None] * FANOUT + step)[:, :, None]
-    b = (right[:, None] * FANOUT + step)[:, None, :]
-    a, b = (x.ravel() for x in np.broadcast_arrays(a, b))
-    keep = (a < n_left) & (b < n_right)
-    return a[keep], b[keep]
+def _children(left: np.ndarray, right: np.ndarray, borders_x: np.ndarray, borders_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a child of each left node with a child of its right node."""
+    wide = borders_y[right + 1] - borders_y[right]
+    counts = (borders_x[left + 1] - borders_x[left]) * wide
+    at, wide = _ragged(counts), np.repeat(wide, counts)
+    return np.repeat(borders_x[left], counts) + at // wide, np.repeat(borders_y[right], counts) + at % wide
 
 
-def _search(x: list, y: list, max_bits: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (into the leaves of x and y) within ``max_bits``, in bounded portions."""
+def index_pairs(x: list, y: list, max_bits: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of x and y within ``max_bits``, in bounded portions; of one index (``same``) those within a bucket, once."""
+    lift = lambda z: [*z, (*z[-1][:2], np.arange(len(z[-1][0]) + 1))]
     while len(x) < len(y):
-        x = [*x, x[-1]]
+        x = lift(x)
     while len(y) < len(x):
-        y = [*y, y[-1]]
-    stack = [(len(x) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        y = lift(y)
+    roots = np.arange(len(x[-1][0]))
+    stack = [(len(x) - 1, roots, roots)]
     while stack:
         level, a, b = stack.pop()
-        (pa_, ma), (pb, mb) = x[level], y[level]
-        keep = np.bitwise_count((pa_[a] ^ pb[b]) & ma[a] & mb[b]) <= max_bits
+        (pattern_x, mask_x, borders_x), (pattern_y, mask_y, borders_y) = x[level], y[level]
+        keep = np.bitwise_count((pattern_x[a] ^ pattern_y[b]) & mask_x[a] & mask_y[b]) <= max_bits
         if same:
             keep &= a <= b if level else a < b
         a, b = a[keep], b[keep]
@@ -129,10 +156,10 @@ def _search(x: list, y: list, max_bits: int, same: bool) -> Iterator[tuple[np.nd
             continue
         for at in range(0, len(a), 1 << 12):
             part = slice(at, at + (1 << 12))
-            stack.append((level - 1, *_children(a[part], b[part], len(x[level - 1][0]), len(y[level - 1][0]))))
+            stack.append((level - 1, *_children(a[part], b[part], borders_x, borders_y)))
 
 
-class _Forest:
+class Forest:
     """Smallest member of each linked set of 0..n-1, from arrays of links."""
 
     def __init__(self, n: int):
@@ -152,21 +179,10 @@ class _Forest:
 
 def _bucket_links(fps: np.ndarray, starts: np.ndarray, max_bits: int) -> np.ndarray:
     """Forest roots of the rows; ``starts`` are the first rows of the buckets, which rows of others never join."""
-    n = len(fps)
-    forest = _Forest(n)
-    sizes = np.diff(np.append(starts, n))
-    bucket_end = np.repeat(np.append(starts, n)[1:], sizes)
-    bucket_end[np.repeat(sizes > FLAT_ROWS, sizes)] = 0
-    for shift in range(1, min(FLAT_ROWS, int(sizes.max(initial=1)))):
-        a = np.flatnonzero(np.arange(n) + shift < bucket_end)
-        if not len(a):
-            break
-        a = a[np.bitwise_count(fps[a] ^ fps[a + shift]) <= max_bits]
-        forest.add(a, a + shift)
-    for start, size in zip(starts[sizes > FLAT_ROWS].tolist(), sizes[sizes > FLAT_ROWS].tolist(), strict=True):
-        levels = _levels(fps[start : start + size])
-        for a, b in _search(levels, levels, max_bits, same=True):
-            forest.add(a + start, b + start)
+    forest = Forest(len(fps))
+    levels = index_levels(fps, starts)
+    for a, b in index_pairs(levels, levels, max_bits, same=True):
+        forest.add(a, b)
     return forest.root
 
 
@@ -180,7 +196,7 @@ def _links_batch(src: np.ndarray, dst: np.ndarray) -> pa.RecordBatch:
 
 
 def _block_batch(band: int, key: int, block: int, fps: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-    pattern, mask = (int(x[-1].view(np.int64)) for x in _levels(fps)[-1])
+    pattern, mask = (int(x[-1].view(np.int64)) for x in index_levels(fps)[-1][:2])
     row = [None, None, band, key, block, pattern, mask, fps.tobytes(), nodes.tobytes()]
     return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, (_, kind) in zip(row, _INDEX_FIELDS, strict=True)], schema=pa.schema(_INDEX_FIELDS))
 
@@ -244,8 +260,8 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[p
         for x, xn, y, yn in zip(*(batch.column(i) for i in range(4)), strict=True):
             left, right = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
             nodes = np.concatenate([np.frombuffer(v.as_py(), np.int64) for v in (xn, yn)])
-            forest = _Forest(len(nodes))
-            for a, b in _search(_levels(left), _levels(right), max_bits, same=False):
+            forest = Forest(len(nodes))
+            for a, b in index_pairs(index_levels(left), index_levels(right), max_bits, same=False):
                 forest.add(a, b + len(left))
             linked = np.flatnonzero(forest.root != np.arange(len(nodes)))
             if len(linked):
@@ -261,13 +277,13 @@ def hamming_links(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
         "node",
     ).select("b.band", "b.key", "fp", "node", _gray_rank(F.col("fp")).alias("rank"))
     ordered = routed.repartitionByRange("band", "key", "rank").sortWithinPartitions("band", "key", "rank").select("band", "key", "fp", "node")
-    index = materialize(ordered.mapInArrow(lambda b: _index_partition(b, max_bits), _INDEX_SCHEMA), "gray_index")
+    index = materialize(ordered.mapInArrow(lean(lambda b: _index_partition(b, max_bits)), _INDEX_SCHEMA), "gray_index")
     links = index.where("src is not null").select("src", "dst")
     blocks = index.where("block is not null").drop("src", "dst")
     left, right = (blocks.select(*(F.col(c).alias(f"{c}_{side}") for c in blocks.columns)) for side in "xy")
     apart = F.bit_count(F.col("pattern_x").bitwiseXOR(F.col("pattern_y")).bitwiseAND(F.col("mask_x")).bitwiseAND(F.col("mask_y")))
     pairs = left.join(right, (F.col("band_x") == F.col("band_y")) & (F.col("key_x") == F.col("key_y")) & (F.col("block_x") < F.col("block_y")) & (apart <= max_bits))
-    across = pairs.select("fps_x", "nodes_x", "fps_y", "nodes_y").mapInArrow(lambda b: _block_pairs(b, max_bits), "src bigint, dst bigint")
+    across = pairs.select("fps_x", "nodes_x", "fps_y", "nodes_y").mapInArrow(lean(lambda b: _block_pairs(b, max_bits)), "src bigint, dst bigint")
     return links.unionByName(across).distinct()
 
 

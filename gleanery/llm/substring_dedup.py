@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import gram_hashes, rolling_min, word_hashes
-from .scratch import fresh_name, materialize
+from .scratch import fresh_name, lean, materialize
 
 MIN_WORDS = 35
 #: Anchor lengths: of documents, then of the segments of hot anchors.
@@ -270,7 +270,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _window_spans(texts: DataFrame, min_words: int) -> DataFrame:
     """Spans of rows (k1, k2, text, copies), counted window by window."""
-    windows = materialize(texts.mapInArrow(lambda b: _emit_windows(b, min_words), "k1 bigint, k2 bigint, copies bigint, end int, digest binary"), "hot_windows")
+    windows = materialize(texts.mapInArrow(lean(lambda b: _emit_windows(b, min_words)), "k1 bigint, k2 bigint, copies bigint, end int, digest binary"), "hot_windows")
     twice = materialize(windows.groupBy("digest").agg(F.sum("copies").alias("n")).where("n > 1").select("digest"), "repeated_windows")
     ends = windows.join(twice, "digest").groupBy("k1", "k2").agg(F.array_sort(F.collect_list("end")).alias("ends"))
     return ends.select("k1", "k2", _merge_windows(F.col("ends"), min_words).alias("spans"))
@@ -281,18 +281,18 @@ def _anchor_spans(texts: DataFrame, min_words: int, anchor_words: tuple[int, ...
     if not anchor_words:
         return _window_spans(texts, min_words)
     size, longer = anchor_words[0], anchor_words[1:]
-    anchors = materialize(texts.mapInArrow(lambda b: _emit_anchors(b, min_words, size), "k1 bigint, k2 bigint, anchor bigint, weight bigint"), "anchors")
+    anchors = materialize(texts.mapInArrow(lean(lambda b: _emit_anchors(b, min_words, size)), "k1 bigint, k2 bigint, anchor bigint, weight bigint"), "anchors")
     # written first: a join of two plain scans can be split where one anchor is hot
     repeated = materialize(anchors.groupBy("anchor").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor"), "repeated")
     wanted = anchors.join(repeated, "anchor").groupBy("k1", "k2").agg(F.collect_set("anchor").alias("wanted"))
     joined = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "copies", "wanted")
-    segments = materialize(joined.mapInArrow(lambda b: _emit_segments(b, min_words, size), _SEGMENT_TYPES), "segments")
+    segments = materialize(joined.mapInArrow(lean(lambda b: _emit_segments(b, min_words, size)), _SEGMENT_TYPES), "segments")
     distinct = materialize(segments.groupBy("anchor", "s1", "s2", "seg").agg(F.sum("copies").alias("copies")).select("anchor", "s1", "s2", "copies", "seg"), "distinct_segments")
     shards = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("n")), "shards")
     hot = shards.where(F.col("n") > shard_segments).select("anchor")
     calm = distinct.join(shards.where(F.col("n") <= shard_segments).select("anchor"), "anchor").select(distinct.columns)
     dealt = calm.repartition("anchor").sortWithinPartitions("anchor")
-    spans = dealt.mapInArrow(lambda b: _shard_partition(b, min_words), "k1 bigint, k2 bigint, spans array<int>")
+    spans = dealt.mapInArrow(lean(lambda b: _shard_partition(b, min_words)), "k1 bigint, k2 bigint, spans array<int>")
     if not hot.isEmpty():
         again = materialize(distinct.join(hot, "anchor").select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.col("seg").alias("text"), "copies"), "hot_segments")
         spans = spans.unionByName(_anchor_spans(again, min_words, longer, shard_segments))
@@ -346,7 +346,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spans = repeated_spans(docs, id_col, text_col, min_words, **options)
     joined = _keyed(docs, id_col, text_col).join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return joined.mapInArrow(lean(_cut), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def replace_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, **options) -> DataFrame:
@@ -361,7 +361,7 @@ def replace_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     there = spans.select(F.col("k1").alias(one), F.col("k2").alias(two), F.col("spans").alias(fresh_name(docs, "_spans")))
     joined = keyed.join(there, [one, two], "left").drop(one, two)
     at = docs.columns.index(text_col)
-    return joined.mapInArrow(lambda b: _replace(b, at), docs.schema)
+    return joined.mapInArrow(lean(lambda b: _replace(b, at)), docs.schema)
 
 
 def _replace(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import Encoder, default_path, encoder
+from .scratch import lean
 
 LEAF_CHARS = 512
 
@@ -155,7 +156,7 @@ def counts_with(docs: DataFrame, edits_col: str, id_col: str = "doc_id", text_co
             if rows:
                 yield _batch(rows)
 
-    return docs.select(docs[id_col].cast("bigint"), docs[text_col].cast("string"), docs[edits_col]).mapInArrow(run, _SCHEMA)
+    return docs.select(docs[id_col].cast("bigint"), docs[text_col].cast("string"), docs[edits_col]).mapInArrow(lean(run), _SCHEMA)
 
 
 def counts_after(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id", text_col: str = "text", order_col: str = "seq", tokenizer_path: str | None = None) -> DataFrame:
@@ -192,4 +193,4 @@ def counts_after(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id", text
         if tree is not None:
             yield _batch([(doc, before, n, tree.count, tree.encoded_chars, tree.chars[1])])
 
-    return rows.mapInArrow(run, _SCHEMA)
+    return rows.mapInArrow(lean(run), _SCHEMA)

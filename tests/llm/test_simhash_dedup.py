@@ -132,7 +132,7 @@ def test_gray_index_prunes_but_loses_nothing():
     rng = np.random.default_rng(4)
     x = rng.integers(0, 2**63, 900, dtype=np.uint64)
     y = np.concatenate([x[:300] ^ (np.uint64(1) << rng.integers(0, 63, 300, dtype=np.uint64)), rng.integers(0, 2**63, 77, dtype=np.uint64)])
-    found = {(int(i), int(j)) for a, b in sd._search(sd._levels(x), sd._levels(y), 4, same=False) for i, j in zip(a, b, strict=True)}
+    found = {(int(i), int(j)) for a, b in sd.index_pairs(sd.index_levels(x), sd.index_levels(y), 4, same=False) for i, j in zip(a, b, strict=True)}
     d = np.bitwise_count(x[:, None] ^ y[None, :])
     assert found == {(int(i), int(j)) for i, j in np.argwhere(d <= 4)}
 
