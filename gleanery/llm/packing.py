@@ -185,11 +185,7 @@ def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the partition's number and each row's position among the partition's rows of its length."""
-    from pyspark import TaskContext
-
-    context = TaskContext.get()
-    part = context.partitionId() if context else 0
+    """Adds each row's position among the partition's rows of its length."""
     seen: dict[int, int] = {}
     for batch in batches:
         length = batch.column(2).to_numpy()
@@ -198,8 +194,7 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.searchsorted(values, length)
         position = base[at] + np.arange(len(length)) - first[at]  # rows come sorted by length
         seen.update(zip(values.tolist(), (base + counts).tolist(), strict=True))
-        names = [*batch.schema.names, "part", "position"]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(position)], names)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(position)], [*batch.schema.names, "position"])
 
 
 def _assignment(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -228,7 +223,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     spark = pieces.sparkSession
     pieces = materialize(pieces, "pieces")
-    ordered = pieces.repartitionByRange("length", "doc_id", "start", "ids_crc32").sortWithinPartitions("length", "doc_id", "start", "ids_crc32")
+    ordered = pieces.repartitionByRange("length", "doc_id", "start", "ids_crc32").sortWithinPartitions("length", "doc_id", "start", "ids_crc32").withColumn("part", F.spark_partition_id())
     numbered = materialize(ordered.mapInArrow(lean(_number), _PIECES + ", part int, position bigint"), "numbered_pieces")
     counts = numbered.groupBy("length", "part").agg(F.count("*").alias("n")).orderBy("length", "part").collect()
     histogram: dict[int, int] = {}

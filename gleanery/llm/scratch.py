@@ -37,13 +37,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and return a scan of it.
 
     The table outlives lost executors, cuts the lineage and has real statistics for AQE.
+    What comes of little input is written by few tasks: each file costs its store requests (a local store
+    even starts a process for its permissions), and many shuffle partitions of a small table are all cost.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/gleanery-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.coalesce(_writers(df)).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of the tables that a plan reads for each task that writes its result; never fewer tasks than cores.
+_WRITER_BYTES = 4 << 20
+
+
+def _writers(df: DataFrame) -> int:
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(df.sparkSession.sparkContext.defaultParallelism, min(1 << 30, size // _WRITER_BYTES + 1))
+
+
 def lean(step: Callable) -> Callable:
     """``step`` over small Arrow batches; its worker gives its free memory back when the task ends.
 

@@ -206,10 +206,7 @@ def _index_partition(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterat
 
     A bucket cut by a block or a partition border is emitted as packed blocks as well.
     """
-    from pyspark import TaskContext
-
-    context = TaskContext.get()
-    serial = (context.partitionId() if context else 0) << 32
+    serial = None
     held = None
     first_key = None
     cut: set[tuple[int, int]] = set()
@@ -235,6 +232,8 @@ def _index_partition(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterat
     for batch in batches:
         if not batch.num_rows:
             continue
+        if serial is None:
+            serial = batch.column(4)[0].as_py() << 32
         rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
         rows[2] = rows[2].view(np.uint64)
         held = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
@@ -276,7 +275,7 @@ def hamming_links(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
         "fp",
         "node",
     ).select("b.band", "b.key", "fp", "node", _gray_rank(F.col("fp")).alias("rank"))
-    ordered = routed.repartitionByRange("band", "key", "rank").sortWithinPartitions("band", "key", "rank").select("band", "key", "fp", "node")
+    ordered = routed.repartitionByRange("band", "key", "rank").sortWithinPartitions("band", "key", "rank").select("band", "key", "fp", "node", F.spark_partition_id().alias("part"))
     index = materialize(ordered.mapInArrow(lean(lambda b: _index_partition(b, max_bits)), _INDEX_SCHEMA), "gray_index")
     links = index.where("src is not null").select("src", "dst")
     blocks = index.where("block is not null").drop("src", "dst")

@@ -83,12 +83,12 @@ def test_large_tight_bucket_crosses_blocks(spark, monkeypatch, block_rows):
     masks = sd._block_masks(4)
     monkeypatch.setattr(sd, "BLOCK_ROWS", block_rows)
 
-    def partition(part):
+    def partition(part, number):
         import pyarrow as pa
 
-        arrays = [pa.array([p[i] for p in part], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+        arrays = [*(pa.array([p[i] for p in part], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64()))), pa.array([number] * len(part), pa.int32())]
         step = 37
-        return [pa.RecordBatch.from_arrays([a.slice(s, step) for a in arrays], list("bkfn")) for s in range(0, len(part), step)]
+        return [pa.RecordBatch.from_arrays([a.slice(s, step) for a in arrays], list("bkfnp")) for s in range(0, len(part), step)]
 
     def signed(x):
         return x - 2**64 if x >> 63 else x
@@ -103,12 +103,12 @@ def test_large_tight_bucket_crosses_blocks(spark, monkeypatch, block_rows):
     cuts = [0, len(routed) // 3 + 5, 2 * len(routed) // 3 + 1, len(routed)]
     links, blocks = [], []
     for p, (s, e) in enumerate(zip(cuts, cuts[1:])):
-        for batch in sd._index_partition(iter(partition(routed[s:e])), 4):
+        for batch in sd._index_partition(iter(partition(routed[s:e], p)), 4):
             for r in batch.to_pylist():
                 (links if r["src"] is not None else blocks).append(r | {"part": p})
     for x in blocks:
         for y in blocks:
-            if (x["band"], x["key"]) == (y["band"], y["key"]) and (x["part"], x["block"]) < (y["part"], y["block"]):
+            if (x["band"], x["key"]) == (y["band"], y["key"]) and x["block"] < y["block"]:
                 import pyarrow as pa
 
                 pair = pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (x["fps"], x["nodes"], y["fps"], y["nodes"])], list("abcd"))
