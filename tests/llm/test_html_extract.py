@@ -34,6 +34,12 @@ def whole(html):
         ("<head><title>t</title><body>b", "b"),
         ("<div><!-- no --><span>a</span> <i>b</i></div></div></p>", "a b"),
         ("<p>a < b &lt; c</p>", "a < b < c"),
+        ("<html><head><title>t</title><p>Body text here</p><p>more</p></html>", "Body text here\nmore"),
+        ("<p>a</p><noscript><p>b</p><p>c", "a\nb\nc"),
+        ("<p>a</p><noscript><p>b</p></noscript><p>c", "a\nc"),
+        ('<script src="a.js"/>var x=1;</script><p>a</p>', "a"),
+        ("<p>a<svg/>b</p>", "ab"),
+        ("a\x00b", "a\x00b"),
     ],
 )
 def test_blocks(html, text):
@@ -64,6 +70,50 @@ def test_held_out_pages(model):
     assert missed <= 0.03 * words and extra <= 0.03 * words
 
 
+# Pages written by hand, with their main text.
+WRITTEN = [
+    (
+        """<!doctype html><html lang=en><head><meta charset=utf-8><title>River report</title><link rel=stylesheet href=s.css></head><body>
+        <div id="top-bar"><a href=/>Home</a> <a href=/news>News</a> <a href=/about>About us</a></div>
+        <div class="layout"><main><h1>The river rose two metres overnight</h1>
+        <p>Residents of the lower town were woken shortly after three, when the first cellars filled with water and the old bridge was closed.</p>
+        <p>The fire brigade counted forty flooded houses, but nobody was hurt. Pumps ran all morning, and a school served as a shelter.</p></main>
+        <aside class="related"><h3>Related</h3><ul><li><a href=/1>Flood of 1998</a><li><a href=/2>Dyke plans</a></ul></aside></div>
+        <footer><p>Copyright 2021 The Valley Courier. <a href=/imprint>Imprint</a></p></footer></body></html>""",
+        ["The river rose two metres overnight", "Residents of the lower town were woken shortly after three, when the first cellars filled with water and the old bridge was closed.", "The fire brigade counted forty flooded houses, but nobody was hurt. Pumps ran all morning, and a school served as a shelter."],
+    ),
+    (
+        """<title>Bread</title><nav><a href=a>Recipes</a><a href=b>Shop</a></nav><article class="post"><h1>A plain rye bread</h1>
+        <p>Mix the flour with warm water and leave it to stand in the kitchen for a night, covered with a cloth.
+        <p>Knead in salt, shape a loaf, and bake it for fifty minutes at a falling heat.<ul><li>500 g rye flour<li>400 ml water<li>10 g salt</ul></article>
+        <section id="comments"><h3>2 comments</h3><div class="comment"><p>Worked very well, thank you for this one.</p></div><div class="comment"><p>Mine was far too wet, even after an hour.</p></div></section>""",
+        ["A plain rye bread", "Mix the flour with warm water and leave it to stand in the kitchen for a night, covered with a cloth.", "Knead in salt, shape a loaf, and bake it for fifty minutes at a falling heat.", "500 g rye flour", "400 ml water", "10 g salt"],
+    ),
+    (
+        """<html><body><div class="cookie-notice"><p>We use cookies to improve this site. By staying you agree to that.</p><button>OK</button></div>
+        <header><div class="logo">Museum</div></header><div class="content"><h2>Opening of the new wing</h2>
+        <p>On Saturday the museum opens a wing for the works on paper that have been kept in boxes for sixty years.</p>
+        <div class="ad-banner"><p>Half price on all frames, only this week, only in our store.</p></div>
+        <p>Visitors can see a hundred sheets at a time, and the rest in drawers on request.</p></div>
+        <div class="footer">All rights reserved. Contact. Press.</div></body></html>""",
+        ["Opening of the new wing", "On Saturday the museum opens a wing for the works on paper that have been kept in boxes for sixty years.", "Visitors can see a hundred sheets at a time, and the rest in drawers on request."],
+    ),
+]
+
+
+def test_pages_written_by_hand(model):
+    missed = extra = lines = 0
+    for (html, want), got in zip(WRITTEN, h.extract([page for page, _ in WRITTEN], model), strict=True):
+        blocks = got.split("\n")
+        missed, extra, lines = missed + len(set(want) - set(blocks)), extra + len(set(blocks) - set(want)), lines + len(want)
+    assert missed <= 0.1 * lines and extra <= 0.1 * lines
+
+
+def test_deep_pages_take_time_in_proportion():
+    page = h.parse("<div>" * 30_000 + "deep" + "<p>x" * 30_000)
+    assert len(page.tags) == 60_001
+
+
 def test_table(spark, model):
     page = (
         '<html><head><title>T</title></head><body><nav><ul><li><a href="/a">menu</a></li></ul></nav><div class="ad">Buy now. Cheap things.</div>'
