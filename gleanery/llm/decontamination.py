@@ -93,6 +93,20 @@ def cgk_keys(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.n
     return keys
 
 
+def _united(ranges: np.ndarray) -> np.ndarray:
+    """Closed ranges (first, last) as ranges that are apart and in order."""
+    ranges = ranges[np.argsort(ranges[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(ranges[:, 1])
+    fresh = np.flatnonzero(np.concatenate([[True], ranges[1:, 0] > reach[:-1] + 1]))
+    return np.stack([ranges[fresh, 0], np.append(reach[fresh[1:] - 1], reach[-1])], axis=1)
+
+
+def _within(ranges: np.ndarray) -> np.ndarray:
+    """All numbers of ranges that are apart and in order."""
+    sizes = ranges[:, 1] - ranges[:, 0] + 1
+    return np.repeat(ranges[:, 0] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 @dataclass
 class ItemIndex:
     """Pieces and LSH keys of one block of items."""
@@ -128,25 +142,46 @@ class ItemIndex:
         return self
 
     def windows(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (start, size) of the item-sized windows that an intact piece allows."""
-        found = []
-        held: set[int] = set()
+        """Distinct (start, size) of the item-sized windows that an intact piece allows.
+
+        Ranges of starts are united by item length as they come, so a phrase that many items share costs its places.
+        """
+        lengths = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        edits = np.asarray(self.edits, np.int64)
+        allowed: dict[int, np.ndarray] = {}  # by length: ranges of starts, apart and in order
+        first = np.full(len(self.words), -1)  # of items without edits: their first passage is their best
         for size, (hashes, items, offsets, seen) in self.grams.items():
             grams = gram_hashes(symbols, size)
             at = np.flatnonzero(seen[grams >> np.uint64(44)])
             low, high = np.searchsorted(hashes, grams[at], "left"), np.searchsorted(hashes, grams[at], "right")
-            for position, lo, hi in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                for entry in range(lo, hi):
-                    if not self.edits[items[entry]]:  # its first passage is its best
-                        if items[entry] in held:
-                            continue
-                        held.add(items[entry])
-                    edits, start = self.edits[items[entry]], position - int(offsets[entry])
-                    length = len(self.words[items[entry]])
-                    found += [(s, length) for s in range(max(0, start - edits), min(start + edits, len(symbols) - 1) + 1)]
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        starts, sizes = np.unique(np.array(found, np.int64), axis=0).T
+            hit = high > low
+            at, low, counts = at[hit], low[hit], (high - low)[hit]
+            ends = np.cumsum(counts)
+            done = 0
+            while done < len(at):  # portions of bounded size
+                upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + (1 << 16), "right")))
+                many = counts[done:upto]
+                entry = np.repeat(low[done:upto] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                item, start = items[entry], np.repeat(at[done:upto], many) - offsets[entry]
+                exact = edits[item] == 0
+                fresh, place = np.unique(item[exact], return_index=True)
+                new = first[fresh] < 0
+                first[fresh[new]] = start[exact][place[new]]
+                item, start = item[~exact], start[~exact]
+                low_end, high_end = np.maximum(0, start - edits[item]), np.minimum(start + edits[item], len(symbols) - 1)
+                inside = low_end <= high_end
+                for length in np.unique(lengths[item[inside]]).tolist():
+                    mine = inside & (lengths[item] == length)
+                    more = np.stack([low_end[mine], high_end[mine]], axis=1)
+                    allowed[length] = _united(np.concatenate([allowed[length], more]) if length in allowed else more)
+                done = upto
+        found = [(_within(ranges), length) for length, ranges in allowed.items()]
+        exact = np.flatnonzero(first >= 0)
+        starts = np.concatenate([np.empty(0, np.int64), first[exact], *(at for at, _ in found)])
+        sizes = np.concatenate([np.empty(0, np.int64), lengths[exact], *(np.full(len(at), length) for at, length in found)])
+        if not len(starts):
+            return starts, sizes
+        starts, sizes = np.unique(np.stack([starts, sizes], axis=1), axis=0).T
         return starts, sizes
 
     def matches(self, texts: list[str | None]) -> Iterator[tuple[int, int | None, int, int, int]]:
@@ -257,7 +292,11 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", max_edit_share: float = MAX_EDIT_SHARE) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no benchmark item."""
+    """The rows of ``docs``, all columns, that hold no benchmark item.
+
+    Null and empty texts hold none and stay; of rows that repeat, all or none stay; texts of any length are read whole. Empty
+    tables of documents or items leave ``docs`` as it is, and extra columns are kept whatever their names.
+    """
     at = docs.columns.index(text_col)
     for index in _blocks(items, "item_id", "text", max_edit_share):
         shared = docs.sparkSession.sparkContext.broadcast(index)

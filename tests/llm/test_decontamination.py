@@ -97,3 +97,23 @@ def test_short_items_and_scripts_without_spaces(spark):
     got = sorted(tuple(r) for r in dc.contaminations(docs, items).collect())
     assert got == [(1, 1, 0, 1, 5), (3, 3, 1, 2, 32), (5, 2, 0, 0, 1)]
     assert {r.doc_id for r in dc.drop_contaminated(docs, items).collect()} == {2, 4, 6}
+
+
+def test_ranges():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        low = rng.integers(0, 60, rng.integers(1, 12))
+        ranges = np.stack([low, low + rng.integers(0, 6, len(low))], axis=1)
+        united = dc._united(ranges)
+        assert dc._within(united).tolist() == sorted({x for a, b in ranges.tolist() for x in range(a, b + 1)})
+        assert (united[1:, 0] > united[:-1, 1] + 1).all()
+
+
+def test_a_phrase_that_many_items_share_costs_its_places():
+    rng = random.Random(4)
+    phrase = [f"p{i}" for i in range(12)]
+    items = [(i, " ".join([f"a{rng.randrange(10**6)}" for _ in range(20)] + phrase + [f"b{rng.randrange(10**6)}" for _ in range(20)])) for i in range(500)]
+    words = [w for _ in range(200) for w in [*phrase, *(f"x{rng.randrange(999)}" for _ in range(9))]]
+    index = dc.ItemIndex.build(items, 0.2)
+    starts, _ = index.windows(dc.word_hashes(dc.normal_words(" ".join(words))))
+    assert 0 < len(starts) <= len(words)
