@@ -9,8 +9,8 @@ Built-in DataFrame functions only. Texts and templates are lower-cased words (le
 * Texts, and then windows, without any shingle of a template cannot hold one. The texts that have one are
   written to the shared folder once, so all size classes read their shingles from there.
 * ``BANDS`` bands of one MinHash row each. A window that holds ``MIN_CONTAINMENT`` of a template that takes
-  at least a quarter of it has Jaccard similarity ``s >= 0.16``, and shares a band with it with probability ``1 - (1 - s)^BANDS``, over
-  0.9998 for 48 bands. (Classes double, so a template has more than ``c / 2.5`` shingles.)
+  at least a fifth of it has Jaccard similarity ``s >= 0.15``, and shares a band with it with probability ``1 - (1 - s)^BANDS``, over
+  0.9995 for 48 bands. (Classes double, so a template has more than ``c / 2.5`` shingles.)
 * What shares a band is verified by exact shingle containment.
 
 Templates are broadcast: a list of notices, of at most ``MAX_TEMPLATE_WORDS`` words in all.
@@ -18,7 +18,6 @@ Templates are broadcast: a list of notices, of at most ``MAX_TEMPLATE_WORDS`` wo
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,7 +25,6 @@ from pyspark.sql import functions as F
 
 from .scratch import materialize
 
-
 SHINGLE_WORDS, MIN_CONTAINMENT, BANDS, SLACK = 5, 0.8, 48, 1.25
 MAX_TEMPLATE_WORDS = 200_000
 
@@ -46,9 +44,19 @@ TEMPLATES = {
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    "mit-terms": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "bsd-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES",
+    "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "apache-2.0-warranty": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
 }
 
 
+def load_templates(spark, path: str) -> dict[str, str]:
+    """Templates from a folder of text files, one whole license text each, named by file: for ``scan(templates=...)``."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("name"), "value")
+    return {row["name"]: row["value"] for row in files.collect()}
+
+
 def normal_words(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
@@ -68,11 +76,19 @@ def _min_hashes(shingles: Column) -> Column:
     return F.array(*map(smallest, range(BANDS)))
 
 
+def _literal_rows(spark, rows: list[dict]) -> DataFrame:
+    """A small table as literals of the plan, so no Python worker makes it."""
+    structs = [F.struct(*((F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)).alias(k) for k, v in row.items())) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def _template_rows(spark, templates: dict[str, str]) -> list[dict]:
     """Name, shingle size, distinct shingles and MinHashes of each template with a word."""
     if sum(len(t.split()) for t in templates.values()) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"templates hold more than {MAX_TEMPLATE_WORDS} words in all")
-    named = spark.createDataFrame(list(templates.items()), "name string, body string").withColumn("words", normal_words("body"))
+    if not templates:
+        return []
+    named = _literal_rows(spark, [{"name": name, "body": body} for name, body in templates.items()]).withColumn("words", normal_words("body"))
     rows: list[dict] = []
     for size in range(1, SHINGLE_WORDS + 1):
         fits = (F.size("words") == size) if size < SHINGLE_WORDS else (F.size("words") >= size)
@@ -118,8 +134,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
         windows = texts.select("doc_id", "row", F.explode(F.transform(starts, lambda s: F.struct(s.alias("at"), F.slice(F.col("shingles"), s + 1, F.lit(2 * c)).alias("window")))).alias("w"))
         windows = windows.select("doc_id", "row", "w.at", "w.window").where(F.arrays_overlap("window", wanted(mine)))
         keyed = windows.select("doc_id", "row", "at", "window", F.posexplode(_min_hashes(F.col("window"))).alias("band", "key"))
-        known = spark.createDataFrame([(r["name"], r["shingles"], band, key) for r in mine for band, key in enumerate(r["mins"])], "template string, known array<long>, band int, key long")
-        hits = keyed.join(F.broadcast(known), ["band", "key"]).select("doc_id", "row", "at", "window", "template", "known")
+        known = _literal_rows(spark, [{"template": r["name"], "known": r["shingles"], "mins": r["mins"]} for r in mine])
+        bands = known.select("template", "known", F.posexplode("mins").alias("band", "key"))
+        hits = keyed.join(F.broadcast(bands), ["band", "key"]).select("doc_id", "row", "at", "window", "template", "known")
         share = F.size(F.array_intersect("window", "known")) / F.size("known")
         first = F.array_min(F.transform("known", lambda h: F.nullif(F.array_position(F.col("window"), h), F.lit(0))))
         checked = hits.select("doc_id", "row", "template", share.alias("containment"), (F.col("at") + first - 1).alias("start_word"))
@@ -127,9 +144,3 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     best = reduce(DataFrame.unionByName, found).groupBy("row", "doc_id", "template").agg(F.max(F.struct("containment", (-F.col("start_word")).alias("back"))).alias("best"))
     return best.select("doc_id", "template", F.col("best.containment").alias("containment"), (-F.col("best.back")).cast("bigint").alias("start_word"))
 
-
-def python_words(text: str) -> list[str]:
-    """``normal_words`` outside Spark, for tests and tools."""
-    return [w for w in re.split(r"[\W_]+", text.lower()) if w]
-
-
