@@ -18,18 +18,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import lean, materialize
 
+#: Bounds of the labelled documents that are learned from, and of the model: each language's most frequent words and n-grams.
 SAMPLE_DOCS = 20_000
 MODEL_WORDS, MODEL_GRAMS = 120_000, 240_000
 MAX_GRAM = 5
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 200_000
-#: Weight of one n-gram's evidence against a word's, and the number of words at which a score is certain enough.
+#: Weight of one n-gram's evidence against a word's, and the number of words at which a score is certain enough (texts are read whole).
 GRAM_WEIGHT, SHARP_WORDS = 0.5, 12
 
 
@@ -152,13 +153,31 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sample = rows.join(F.broadcast(chosen), "i", "left_semi").select("lang", "text")
     words = materialize(sample.mapInArrow(lean(_count_words), "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "word_counts")
     grams = words.mapInArrow(lean(_count_grams), "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    languages = max(1, words.select("lang").distinct().count())
+    grams = materialize(grams, "gram_counts")
+    return LanguageModel.build(frequent(words, "word", MODEL_WORDS), frequent(grams, "gram", MODEL_GRAMS))
 
-    def top(counts: DataFrame, key: str, size: int) -> list[tuple[str, str, int]]:
-        ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), key)))
-        return sorted((r["lang"], r[key], r["n"]) for r in ranked.where(F.col("r") <= size // languages).collect())
 
-    return LanguageModel.build(top(words, "word", MODEL_WORDS), top(grams, "gram", MODEL_GRAMS))
+def frequent(counts: DataFrame, key: str, size: int) -> list[tuple[str, str, int]]:
+    """(language, ``key``, count) from the least count of each language at which all languages share ``size`` entries.
+
+    The count comes from a histogram, so no language is ranked in one task. What is rarer is unseen to the model, and
+    backs off to its n-grams.
+    """
+    rows = counts.groupBy("lang", "n").agg(F.count("*").alias("entries")).collect()
+    by_lang: dict[str, dict[int, int]] = {}
+    for row in rows:
+        by_lang.setdefault(row["lang"], {})[row["n"]] = row["entries"]
+    kept = F.lit(False)
+    for lang, entries in sorted(by_lang.items()):
+        room, least = size // len(by_lang), None
+        for n in sorted(entries, reverse=True):
+            room -= entries[n]
+            if room < 0:
+                break
+            least = n
+        if least is not None:
+            kept |= (F.col("lang") == lang) & (F.col("n") >= least)
+    return sorted((r["lang"], r[key], r["n"]) for r in counts.where(kept).collect())
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: LanguageModel | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ from .scratch import fresh_name
 #: Bound of the labelled rows that training collects.
 SAMPLE_ROWS = 20_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: A rule needs this precision and this many rows of the pruning part.
+#: The learner: a rule's precision and rows in the pruning part, and how many rules, tests of a rule and thresholds of a feature it tries.
 MIN_PRECISION, MIN_COVER, MAX_RULES, MAX_TESTS, MAX_THRESHOLDS = 0.85, 4, 12, 3, 48
 _SPACE = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
@@ -188,6 +188,7 @@ def learn_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     marked = labels.where(F.col(quality_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_label_id")).agg(F.min(quality_col).alias("_quality"))
     sample = marked.orderBy(F.xxhash64("_label_id"), "_label_id").limit(sample_rows)
     joined = docs.select(F.col(id_col).alias("_doc_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), F.col("_doc_id") == F.col("_label_id"))
+    joined = joined.groupBy("_label_id", "_quality").agg(F.min("_text").alias("_text"))  # an id's rows count once
     features = with_features(joined, "_text").select("_label_id", "_quality", *("_q_" + f for f in FEATURES))
     rows = sorted(features.collect(), key=lambda r: (r["_label_id"] * 2654435761 % 2**32, r["_label_id"]))
     return learn([(r["_quality"] == 0, {f: float(r["_q_" + f]) for f in FEATURES}) for r in rows])
@@ -226,7 +227,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that the rules keep."""
+    """The rows of ``docs``, all columns, that the rules keep.
+
+    Null and empty texts fail the base rules and go; of rows that repeat, all or none stay; texts of any length are read
+    whole. An empty table stays empty, and extra columns are kept whatever their names.
+    """
     prefix = fresh_name(docs, "_q_")
     while any(c.startswith(prefix) for c in docs.columns):
         prefix = "_" + prefix

@@ -60,3 +60,10 @@ def test_edges(spark):
     assert all(g[2] in ("en", "de") for g in got if g[0] in (None, 5, 8, 9))
     assert li.identify(df.limit(0)).count() == 0
     assert {r.lang_pred for r in li.identify(df.withColumn("lang", li.F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_frequent_entries_without_ranking(spark):
+    counts = spark.createDataFrame([("en", f"w{i}", n) for i, n in enumerate([9, 5, 5, 2, 2, 2, 1])] + [("fr", "x", 3)], "lang string, word string, n long")
+    got = li.frequent(counts, "word", 8)
+    assert got == [("en", "w0", 9), ("en", "w1", 5), ("en", "w2", 5), ("fr", "x", 3)]
+    assert li.frequent(counts.limit(0), "word", 8) == []
