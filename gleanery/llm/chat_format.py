@@ -4,13 +4,15 @@ A template is parsed into a syntax tree, constant parts are folded, and the tree
 closures that stream (text, under the loss mask) chunks. Templates have no attribute access beyond the
 fields of a message, no calls beyond the filters given here, and no way to reach Python objects.
 
-Language: text, ``{{ expression }}`` and ``{% statement %}`` with
+Language: text, ``{{ expression }}``, comments ``{# ... #}`` and ``{% statement %}``, each with a dash inside its ends to
+trim the white space of the text beyond it, and the statements
 ``for NAME in messages ... endfor``, ``if E ... elif E ... else ... endif``, ``generation ... endgeneration``
 (the loss mask) and ``set NAME = E``. Expressions: strings, integers, ``true``/``false``/``none``, names,
-``NAME.field``, ``loop.index``/``loop.first``/``loop.last``, ``+``, ``==``, ``!=``, ``in``, ``not``, ``and``,
+``NAME.field``, ``loop.index``/``loop.index0``/``loop.first``/``loop.last``, ``+``, ``==``, ``!=``, ``in``, ``not``, ``and``,
 ``or``, parentheses, and filters ``| escape``, ``| line``, ``| trim``, ``| upper``, ``| lower``.
 
-Messages are consumed one at a time, so a conversation of any length is rendered in bounded memory.
+Messages are consumed one at a time, so a conversation of any length is rendered in bounded memory. They pass by once, so
+a template has one loop over them; a second one is an error.
 """
 
 from __future__ import annotations
@@ -61,7 +63,8 @@ class TemplateError(ValueError):
 # expressions: ("const", v) ("name", n) ("field", n, f) ("not", e) ("filter", e, f) (op, a, b)
 # statements: ("out", e) ("for", n, body) ("if", [(e, body)], body) ("mask", body) ("set", n, e)
 
-_TAG = re.compile(r"\{\{-?(.*?)-?\}\}|\{%-?(.*?)-?%\}|\{#.*?#\}", re.DOTALL)
+_INSIDE = r"((?:'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|(?!-?[%}]\}).)*)"
+_TAG = re.compile(rf"\{{\{{(-?){_INSIDE}(-?)\}}\}}|\{{%(-?){_INSIDE}(-?)%\}}|\{{#(-?).*?(-?)#\}}", re.DOTALL)
 _TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|[.+|()]))")
 _WORDS = {"true": True, "false": False, "none": None}
 _STRING_ESCAPES = {"n": "\n", "t": "\t"}
@@ -171,18 +174,28 @@ def fold(tree: tuple) -> tuple:
 def parse(template: str) -> list[tuple]:
     """Statements of a template; neighbouring constant text is folded into one output."""
     items: list[tuple[str, str]] = []
-    at = 0
+    at, trim = 0, False
+
+    def between(upto: int, trim_end: bool) -> None:
+        text = template[at:upto]
+        if lost := re.search(r"\{\{|\{%", text):
+            raise TemplateError(f"cannot read {text[lost.start() :][:40]!r}")
+        text = text.lstrip() if trim else text
+        items.append(("text", text.rstrip() if trim_end else text))
+
     for m in _TAG.finditer(template):
-        items.append(("text", template[at : m.start()]))
-        at = m.end()
-        if m[1] is not None:
-            items.append(("out", m[1]))
-        elif m[2] is not None:
-            items.append(("tag", m[2].strip()))
-    items.append(("text", template[at:]))
+        between(m.start(), "-" in (m[1], m[4], m[7]))
+        at, trim = m.end(), "-" in (m[3], m[6], m[8])
+        if m[2] is not None:
+            items.append(("out", m[2]))
+        elif m[5] is not None:
+            items.append(("tag", m[5].strip()))
+    between(len(template), False)
     stream = iter(items)
+    loops = 0
 
     def block(*ends: str) -> tuple[list[tuple], str]:
+        nonlocal loops
         body: list[tuple] = []
         for kind, value in stream:
             word = value.split(None, 1)[0] if value.split() else ""
@@ -198,6 +211,9 @@ def parse(template: str) -> list[tuple]:
                 m = re.fullmatch(r"for\s+([A-Za-z]\w*)\s+in\s+messages", value)
                 if not m:
                     raise TemplateError(f"cannot read {value!r}")
+                loops += 1
+                if loops > 1:
+                    raise TemplateError("a template has one loop over messages")
                 body.append(("for", m[1], block("endfor")[0]))
             elif word == "if":
                 cases, test = [], value[2:]
@@ -313,7 +329,7 @@ def _statement(tree: tuple) -> Callable[[Scope, bool], Iterator[Chunk]]:
             following = next(messages, None)
             index += 1
             scope[name] = message
-            scope["loop"] = {"index": index, "first": index == 1, "last": following is None}
+            scope["loop"] = {"index": index, "index0": index - 1, "first": index == 1, "last": following is None}
             yield from inner(scope, masked)
             message = following
 
@@ -442,6 +458,10 @@ def _format_partition(batches: Iterator[pa.RecordBatch], template: str) -> Itera
 
 
 def format_conversations(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", template: str = TEMPLATE) -> DataFrame:
-    """``conv_id``, ``formatted`` text and ``loss_spans`` (code point ranges under the loss mask)."""
+    """``conv_id``, ``formatted`` text and ``loss_spans`` (code point ranges under the loss mask).
+
+    A conversation is one row, so its text is held whole; ``digests`` is not bound to that. Order, ties, null texts, roles and
+    conversations, repeated rows and empty tables are as there; extra columns are ignored.
+    """
     rows = _sorted_rows(conversations, conv_col, turn_col, role_col, text_col)
     return rows.mapInArrow(lean(lambda b: _format_partition(b, template)), "conv_id bigint, formatted string, loss_spans array<struct<`from`: bigint, `to`: bigint>>")

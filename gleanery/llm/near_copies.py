@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import gram_hashes, word_hashes
-from .scratch import fresh_name, lean, materialize
+from .scratch import drop, fresh_name, lean, materialize
 from .simhash_dedup import Forest, connected_components, gray_ranks, index_levels, index_pairs, sign_bits
 
 SHINGLE_WORDS = 5
@@ -186,10 +186,12 @@ def _meetings(prints: DataFrame) -> DataFrame:
     """``pivot``, ``low``, ``high`` (blocks) and ``node``: what meets where."""
     need = F.floor(F.col("n") / SHARE) + 1
     entries = prints.select("node", "n", F.explode("keys").alias("key"))
-    shared = materialize(entries.join(_pivots(entries, "prefix_pivots"), "key").select("key", "node", "n").distinct(), "shared_prefixes")
+    keys = _pivots(entries, "prefix_pivots")
+    shared = materialize(entries.join(keys, "key").select("key", "node", "n").distinct(), "shared_prefixes")
     enough = shared.groupBy("node", "n").agg(F.count("*").alias("c")).where(F.col("c") >= need).select("node")
     company = materialize(shared.join(enough, "node"), "prefixes_in_company")
-    met = materialize(company.join(_pivots(company, "pivots_in_company"), "key").groupBy("pivot", "node", "n").agg(F.count("*").alias("c")), "pivots_met")
+    keys_left = _pivots(company, "pivots_in_company")
+    met = materialize(company.join(keys_left, "key").groupBy("pivot", "node", "n").agg(F.count("*").alias("c")), "pivots_met")
     dealt = met.groupBy("node").agg(F.count("*").alias("pivots"))
     close = materialize(met.join(dealt, "node").where(F.col("c") * F.col("pivots") >= need).select("pivot", "node", "n"), "close_pivots")
     sizes = close.groupBy("pivot").agg(F.count("*").alias("rows"), F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")).where("rows > 1")
@@ -197,7 +199,9 @@ def _meetings(prints: DataFrame) -> DataFrame:
     placed = close.join(sizes, "pivot").select("pivot", "node", "blocks", mine.alias("mine"))
     other = F.explode(F.expr("if(blocks = 1, array(0), filter(sequence(0, blocks - 1), x -> x <> mine))")).alias("other")
     pairs = placed.select("pivot", "node", "mine", other)
-    return materialize(pairs.select("pivot", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "node"), "meetings")
+    meetings = materialize(pairs.select("pivot", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "node"), "meetings")
+    drop(keys, shared, company, keys_left, met, close)
+    return meetings
 
 
 def components(prints: DataFrame, texts: DataFrame) -> DataFrame:
@@ -208,7 +212,9 @@ def components(prints: DataFrame, texts: DataFrame) -> DataFrame:
     sets = materialize(texts.join(first, "row").select("node", "text").mapInArrow(lean(_sets), "node bigint, sketch bigint, held binary"), "shingle_sets")
     blocks = meetings.join(sets, "node").select("pivot", "low", "high", "node", "sketch", "held")
     sorted_blocks = blocks.repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high")
-    return connected_components(materialize(sorted_blocks.mapInArrow(lean(_block_links), "src bigint, dst bigint"), "near_links"))
+    links = materialize(sorted_blocks.mapInArrow(lean(_block_links), "src bigint, dst bigint"), "near_links")
+    drop(meetings, sets)
+    return connected_components(links)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,5 +232,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ids = numbered.select(F.col(row).alias("row"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"))
     named = materialize(prints.select("row", "node").join(groups, "node", "left").select("row", F.coalesce("component", "node").alias("group")).join(ids, "row"), "rows_by_group")
     first = named.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "hash", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    drop(prints)
     dropped = named.select("row").join(first, "row", "left_anti").withColumnRenamed("row", row)
     return numbered.join(dropped, row, "left_anti").select(*docs.columns)

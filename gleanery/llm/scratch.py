@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,34 @@ def _local_dir(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"gleanery-{application}-")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Paths of the tables that the innermost ``temporary`` block drops.
+_BLOCKS: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Drops the tables written in the block when it ends, but for those that ``materialize`` is told to keep."""
+    _BLOCKS.append([])
+    try:
+        yield
+    finally:
+        for path in _BLOCKS.pop():
+            _delete(spark, path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote for ``tables``: once nothing that is still to run reads them."""
+    for df in tables:
+        if path := getattr(df, "_scratch_path", None):
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and return a scan of it.
 
     The table outlives lost executors, cuts the lineage and has real statistics for AQE.
@@ -41,13 +69,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     even starts a process for its permissions), and many shuffle partitions of a small table are all cost.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/gleanery-{uuid.uuid4().hex}/{name}"
-    df.coalesce(_writers(df)).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{scratch_dir(spark).rstrip('/')}/gleanery-{uuid.uuid4().hex}"
+    df.coalesce(_writers(df)).write.option("compression", "zstd").parquet(f"{folder}/{name}")
+    if _BLOCKS and not keep:
+        _BLOCKS[-1].append(folder)
+    table = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    table._scratch_path = folder
+    return table
 
 
 #: Bytes of the tables that a plan reads for each task that writes its result; never fewer tasks than cores.
-_WRITER_BYTES = 4 << 20
+_WRITER_BYTES = 2 << 20
 
 
 def _writers(df: DataFrame) -> int:

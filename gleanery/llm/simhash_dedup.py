@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import lean, materialize
+from .scratch import drop, lean, materialize
 
 SEED = 42
 BITS = 64
@@ -308,7 +308,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = larger_first(both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")))
         least = large.groupBy("src").agg(F.min("dst").alias("m"))
         small = large.join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).unionByName(least.select("src", F.col("m").alias("dst")))
-        edges = materialize(larger_first(small), "links")
+        before, edges = edges, materialize(larger_first(small), "links")
+        drop(before)
         now = signature(edges)
         if now == seen:
             break

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import gram_hashes, rolling_min, word_hashes
-from .scratch import fresh_name, lean, materialize
+from .scratch import drop, fresh_name, lean, materialize
 
 MIN_WORDS = 35
 #: Anchor lengths: of documents, then of the segments of hot anchors.
@@ -287,6 +287,7 @@ def _anchor_spans(texts: DataFrame, min_words: int, anchor_words: tuple[int, ...
     wanted = anchors.join(repeated, "anchor").groupBy("k1", "k2").agg(F.collect_set("anchor").alias("wanted"))
     joined = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "copies", "wanted")
     segments = materialize(joined.mapInArrow(lean(lambda b: _emit_segments(b, min_words, size)), _SEGMENT_TYPES), "segments")
+    drop(anchors, repeated)
     distinct = materialize(segments.groupBy("anchor", "s1", "s2", "seg").agg(F.sum("copies").alias("copies")).select("anchor", "s1", "s2", "copies", "seg"), "distinct_segments")
     shards = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("n")), "shards")
     hot = shards.where(F.col("n") > shard_segments).select("anchor")
@@ -297,8 +298,11 @@ def _anchor_spans(texts: DataFrame, min_words: int, anchor_words: tuple[int, ...
         again = materialize(distinct.join(hot, "anchor").select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.col("seg").alias("text"), "copies"), "hot_segments")
         spans = spans.unionByName(_anchor_spans(again, min_words, longer, shard_segments))
     spans = materialize(spans.select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), "spans"), "segment_spans")
+    drop(distinct, shards)
     moved = F.transform("spans", lambda x: x + F.col("start"))
-    return segments.select("k1", "k2", "s1", "s2", "start").join(spans, ["s1", "s2"]).select("k1", "k2", moved.alias("spans"))
+    parts = materialize(segments.select("k1", "k2", "s1", "s2", "start").join(spans, ["s1", "s2"]).select("k1", "k2", moved.alias("spans")), "document_spans")
+    drop(segments, spans)
+    return parts
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, anchor_words: tuple[int, ...] = ANCHOR_WORDS, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:

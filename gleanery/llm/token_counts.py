@@ -3,7 +3,8 @@
 A document is cut at places where the tokenizer's pre-tokens always break (a single space between two
 other characters), into leaves of at least ``LEAF_CHARS`` characters. Leaves hold their token
 counts; inner nodes hold sums. An edit re-encodes the leaves it touches, and neighbours as long as the edit left
-no safe cut towards them, and updates the sums on the way to the root.
+no safe cut towards them, and updates the sums on the way to the root. A leaf that edits have made ``GROWTH`` times as
+long is cut anew where it can be (a text without any space stays one leaf, which each edit re-encodes).
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import Encoder, default_path, encoder
 from .scratch import lean
+from .tokens import Encoder, default_path, encoder
 
-LEAF_CHARS = 512
+LEAF_CHARS, GROWTH = 512, 8
 
 
 def _safe(before: str, after: str) -> bool:
@@ -43,17 +44,21 @@ class TokenTree:
 
     def __init__(self, text: str, tokenizer: Encoder, leaf_chars: int = LEAF_CHARS):
         self.tokenizer = tokenizer
+        self.leaf_chars = leaf_chars
         self.encoded_chars = 0
-        self.texts = list(_leaves(text, leaf_chars))
-        self.size = 1 << max(0, (len(self.texts) - 1).bit_length())
-        self.texts += [""] * (self.size - len(self.texts))
+        self._build([(part, self._count(part)) for part in _leaves(text, leaf_chars)])
+        self.encoded_chars = 0
+
+    def _build(self, leaves: list[tuple[str, int]]) -> None:
+        """The tree over counted leaves; nothing is encoded."""
+        self.size = 1 << max(0, (len(leaves) - 1).bit_length())
+        self.texts = [text for text, _ in leaves] + [""] * (self.size - len(leaves))
         self.tokens = [0] * (2 * self.size)
         self.chars = [0] * (2 * self.size)
-        for leaf, part in enumerate(self.texts):
-            self.tokens[self.size + leaf], self.chars[self.size + leaf] = self._count(part), len(part)
+        for leaf, (text, tokens) in enumerate(leaves):
+            self.tokens[self.size + leaf], self.chars[self.size + leaf] = tokens, len(text)
         for node in range(self.size - 1, 0, -1):
             self._sum(node)
-        self.encoded_chars = 0
 
     def _count(self, text: str) -> int:
         self.encoded_chars += len(text)
@@ -115,7 +120,13 @@ class TokenTree:
         for leaf in range(first + 1, last + 1):
             if self.texts[leaf]:
                 self._set(leaf, "")
-        self._set(first, text)
+        parts = list(_leaves(text, self.leaf_chars)) if len(text) > GROWTH * self.leaf_chars else [text]
+        if len(parts) == 1:
+            self._set(first, text)
+            return
+        old = [(x, n) for x, n in zip(self.texts, self.tokens[self.size :], strict=True)]
+        new = [(part, self._count(part)) for part in parts]
+        self._build([leaf for leaf in [*old[:first], *new, *old[first + 1 :]] if leaf[0]])
 
 
 Edit = tuple[int | None, int | None, str | None]
@@ -142,7 +153,8 @@ def counts_with(docs: DataFrame, edits_col: str, id_col: str = "doc_id", text_co
     """Counts before and after the edits in ``edits_col``: an array of (start, end, replacement), applied in order.
 
     A null array is no edit. Offsets are code points of the text as edited so far and are clipped to it; a
-    null start is 0, a null end the start, a null replacement or text is empty. Each row gives a row.
+    null start is 0, a null end the start, a null replacement or text is empty. Each row gives a row, rows that repeat and
+    null ids too; an empty table gives an empty result, and texts of any length are counted whole. Extra columns are ignored.
     """
     path = tokenizer_path or default_path()
 
@@ -163,34 +175,41 @@ def counts_after(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id", text
     """``counts_with`` for a table of edits (``doc_id``, ``seq``, ``start``, ``end``, ``replacement``).
 
     Documents and edits are sorted together and stream by, so a document's edits are never gathered. Edits
-    of unknown documents are left out; rows that repeat an id all get its edits only if ids are unique,
-    so repeated ids raise an error. Ties of ``seq`` go by start, end and replacement.
+    of unknown documents are left out, and those of an id that repeats are applied to each of its rows; equal rows
+    share one tree. Null ids have no edits. Ties of ``seq`` go by start, end and replacement.
     """
     path = tokenizer_path or default_path()
-    first = docs.select(docs[id_col].cast("bigint").alias("d"), F.lit(0).alias("k"), docs[text_col].cast("string").alias("t"), *(F.lit(None).cast("bigint").alias(c) for c in "nse"))
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    keyed = docs.select(docs[id_col].cast("bigint").alias("d"), F.xxhash64(text).alias("h"), text.alias("t"))
+    first = keyed.select("d", "h", F.lit(0).alias("k"), "t", *(F.lit(None).cast("bigint").alias(c) for c in "nse"))
     then = edits.select(F.col(id_col).cast("bigint").alias("d"), F.lit(1).alias("k"), F.col("replacement").cast("string").alias("t"), *(F.col(c).cast("bigint").alias(a) for c, a in ((order_col, "n"), ("start", "s"), ("end", "e"))))
-    rows = first.unionByName(then).repartition("d").sortWithinPartitions("d", "k", "n", "s", "e", "t")
+    texts_of = keyed.where("d is not null").select("d", "h").distinct()
+    rows = first.unionByName(then.join(texts_of, "d")).repartition("d", "h").sortWithinPartitions("d", "h", "k", "n", "s", "e", "t")
 
     def run(batches):
-        tree = doc = None
-        before = n = 0
+        tree = name = None
+        before = n = copies = 0
+
+        def counted():
+            return [(name[0], before, n, tree.count, tree.encoded_chars, tree.chars[1])] * copies
+
         for batch in batches:
             out = []
-            for d, k, text, _, start, end in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if k == 0:
-                    if tree is not None and doc == d and d is not None:
-                        raise ValueError(f"document id {d} repeats")
+            for d, h, k, text, _, start, end in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if k == 0 and tree is not None and name == (d, h):
+                    copies += 1
+                elif k == 0:
                     if tree is not None:
-                        out.append((doc, before, n, tree.count, tree.encoded_chars, tree.chars[1]))
-                    tree, doc, n = TokenTree(text or "", encoder(path)), d, 0
+                        out += counted()
+                    tree, name, n, copies = TokenTree(text, encoder(path)), (d, h), 0, 1
                     before = tree.count
-                elif tree is not None and doc == d and d is not None:
+                else:
                     start = start or 0
                     tree.edit(start, start if end is None else end, text or "")
                     n += 1
             if out:
                 yield _batch(out)
         if tree is not None:
-            yield _batch([(doc, before, n, tree.count, tree.encoded_chars, tree.chars[1])])
+            yield _batch(counted())
 
     return rows.mapInArrow(lean(run), _SCHEMA)

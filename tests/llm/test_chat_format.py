@@ -25,11 +25,17 @@ def test_language():
     assert render("{{ \"q\\n\" }}{% if (1 == 1) or zzz %}t{% endif %}", []) == "q\nt"
 
 
+def test_white_space_control_and_strings_with_ends():
+    assert render("a  {%- if true -%}  b {% endif %}", []) == "ab "
+    assert render("{{ '}}' }}x{#- c -#} {{- '%}' -}}  z", []) == "}}x%}z"
+    assert render("{% for x in messages %}{{ loop.index0 }}{% endfor %}", [{}, {}]) == "01"
+
+
 def test_constants_are_folded():
     assert cf.parse("a{{ 'b' + ('c' | upper) }}d{% if 1 == 2 %}x{% elif true %}e{% endif %}") == [("out", ("const", "abCd")), ("out", ("const", "e"))]
 
 
-@pytest.mark.parametrize("bad", ["{{ a.__class__ }}", "{{ f('x') }}", "{% import os %}", "{{ a | eval }}", "{% for x in y %}{% endfor %}", "{% if a %}", "{{ 'a }}", "{{ }}", "{{ a b }}", "{% endfor %}"])
+@pytest.mark.parametrize("bad", ["{{ a.__class__ }}", "{{ f('x') }}", "{% import os %}", "{{ a | eval }}", "{% for x in y %}{% endfor %}", "{% if a %}", "{{ 'a }}", "{{ }}", "{{ a b }}", "{% endfor %}", "{% for m in messages %}{% endfor %}{% for m in messages %}{% endfor %}", "{{ messages[0] }}"])
 def test_sandbox(bad):
     with pytest.raises(cf.TemplateError):
         cf.compile_template(bad)

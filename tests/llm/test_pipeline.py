@@ -58,3 +58,22 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_rows_clashing_columns_and_a_very_long_text(spark, tmp_path):
+    rng = random.Random(3)
+    plain, long_text = " ".join(prose(rng, 90, "w")), " ".join(f"v{i}x{rng.randrange(99)}" for i in range(150_000))
+    rows = [(1, plain, "a", 1, 2), (1, plain, "a", 1, 2), (2, long_text, "b", 3, 4), (None, " ".join(prose(rng, 70, "n")), "c", 5, 6), (3, None, "d", 7, 8), (4, "", "e", 9, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string, row int, spans int").repartition(2)
+    spark.createDataFrame([(1, "an item of words that none holds at all"), (2, None), (3, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    sizes = []
+    for k, (_, stage) in enumerate(cp.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(str(tmp_path / f"out{k}"))
+        if k < len(cp.STAGES) - 1:
+            assert out.columns == docs.columns
+            docs = spark.read.parquet(str(tmp_path / f"out{k}"))
+            sizes.append(sorted(((r.doc_id, r.node, r.row, r.spans) for r in docs.collect()), key=str))
+    assert sizes[0] == sorted([(1, "a", 1, 2), (1, "a", 1, 2), (2, "b", 3, 4), (None, "c", 5, 6)], key=str)
+    assert sizes[1] == sizes[2] == sizes[3] == sorted([(1, "a", 1, 2), (2, "b", 3, 4), (None, "c", 5, 6)], key=str)

@@ -29,3 +29,19 @@ def test_materialize_and_names(spark):
     df = scratch.materialize(spark.range(5), "five")
     assert df.count() == 5 and "parquet" in df._jdf.queryExecution().executedPlan().toString().lower()
     assert scratch.fresh_name(df, "id") == "_id"
+
+
+def test_tables_are_dropped(spark):
+    with scratch.temporary(spark):
+        inside, kept = scratch.materialize(spark.range(5), "inside"), scratch.materialize(spark.range(6), "kept", keep=True)
+        paths = [df._scratch_path.removeprefix("file:") for df in (inside, kept)]
+        assert all(map(os.path.isdir, paths))
+    assert not os.path.exists(paths[0]) and kept.count() == 6
+    scratch.drop(kept, spark.range(1))
+    assert not os.path.exists(paths[1])
+
+
+def test_small_tables_are_written_by_few_tasks(spark):
+    table = scratch.materialize(spark.range(1000).repartition(40), "scan")
+    out = scratch.materialize(table.repartition(64, "id"), "few")
+    assert len(out.inputFiles()) <= spark.sparkContext.defaultParallelism and out.count() == 1000

@@ -42,6 +42,38 @@ def test_only_touched_leaves_are_encoded_again():
     assert tree.count == tokenizer.count(tree.text)
 
 
+def test_grown_leaves_are_cut_anew():
+    rng, tokenizer = random.Random(3), encoder(default_path())
+    tree, text = tc.TokenTree("a b", tokenizer, leaf_chars=16), "a b"
+    for _ in range(60):
+        start = rng.randint(0, len(text))
+        new = random_text(rng, rng.choice([1, 40]))
+        text = text[:start] + new + text[start:]
+        tree.edit(start, start, new)
+        assert tree.text == text and tree.count == tokenizer.count(text)
+    assert max(map(len, tree.texts)) <= tc.GROWTH * 16 + 200
+    tree.encoded_chars = 0
+    tree.edit(len(text) // 2, len(text) // 2, "x")
+    assert tree.encoded_chars < len(text) // 4
+
+
+def test_a_long_text_without_spaces():
+    tokenizer = encoder(default_path())
+    tree = tc.TokenTree("abc" * 5000, tokenizer)
+    tree.edit(7000, 7003, "xyz")
+    text = ("abc" * 5000)[:7000] + "xyz" + ("abc" * 5000)[7003:]
+    assert tree.text == text and tree.count == tokenizer.count(text)
+
+
+def test_repeated_ids_each_get_the_edits(spark):
+    tokenizer = encoder(default_path())
+    docs = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (1, "other text"), (None, "null id"), (None, "null id"), (2, None)], "doc_id long, text string").repartition(3)
+    log = spark.createDataFrame([(1, 0, 0, 3, "new words"), (2, 0, 5, 9, "z"), (None, 0, 0, 0, "x"), (9, 0, 0, 0, "y")], "doc_id long, seq long, start long, end long, replacement string")
+    got = sorted(((r.doc_id, r.n_edits, r.edited_tokens) for r in tc.counts_after(docs, log).collect()), key=str)
+    one, two = tokenizer.count("new words two three"), tokenizer.count("new wordser text")
+    assert got == sorted([(1, 1, one), (1, 1, one), (1, 1, two), (None, 0, tokenizer.count("null id")), (None, 0, tokenizer.count("null id")), (2, 1, 1)], key=str)
+
+
 def test_tables(spark):
     rng, tokenizer = random.Random(2), encoder(default_path())
     docs = [(i, random_text(rng, rng.randint(0, 60))) for i in range(40)] + [(40, None), (41, ""), (42, "long word " * 30000)]
