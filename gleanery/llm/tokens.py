@@ -2,7 +2,8 @@
 
 The file is read by ``tokenizers``. Its vocabulary is handed to ``tiktoken``'s engine, which gives the same
 ids in a third of the time; texts that the engine could treat differently or slowly (special tokens,
-very long runs with or without white space) go to ``tokenizers`` itself. ``tests/llm/test_packing.py``
+very long runs with or without white space) go to ``tokenizers`` itself, as do all texts where the file is of
+another kind than the engine's (``_plain_byte_level``). ``tests/llm/test_packing.py``
 holds the ids of both ways against each other.
 """
 
@@ -33,6 +34,17 @@ def _byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _plain_byte_level(file: dict) -> bool:
+    """Whether the engine's pattern and merges by rank are what the file describes."""
+    model, before = file["model"], file.get("pre_tokenizer") or {}
+    plain = not file.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    if not plain or model.get("type") != "BPE" or model.get("ignore_merges") or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")):
+        return False
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+    ranks = [model["vocab"].get("".join(pair), -1) for pair in pairs]
+    return all(a < b for a, b in zip([-1, *ranks], ranks, strict=False))
+
+
 class Encoder:
     """``ids(text)``: the token ids, without special tokens added, as a uint32 array."""
 
@@ -45,15 +57,17 @@ class Encoder:
         added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         symbols = _byte_symbols()
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        ranks = {bytes(symbols[c] for c in token): i for token, i in vocabulary.items() if token not in added}
-        self.engine = tiktoken.Encoding("gleanery", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            file = json.load(f)
+        self.engine = None
+        if _plain_byte_level(file):
+            ranks = {bytes(symbols[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in added}
+            self.engine = tiktoken.Encoding("gleanery", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.special = re.compile("|".join(map(re.escape, sorted(added)))) if added else None
 
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
-        if _long_run(text) or (self.special and self.special.search(text)):
+        if self.engine is None or _long_run(text) or (self.special and self.special.search(text)):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.engine.encode_to_numpy(text, disallowed_special=())
 

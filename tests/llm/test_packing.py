@@ -100,3 +100,18 @@ def test_knapsack_matches_brute_force():
             if combo @ lengths <= 30:
                 best = max(best, float(combo @ values))
         assert pattern @ lengths <= 30 and abs(pattern @ values - best) < 1e-9 and abs(value - best) < 1e-9
+
+
+def test_another_kind_of_tokenizer_file_is_left_to_its_own_library(tmp_path):
+    import json
+
+    from gleanery.llm.tokens import Encoder, _plain_byte_level, default_path
+
+    with open(default_path(), encoding="utf-8") as f:
+        file = json.load(f)
+    assert _plain_byte_level(file)
+    file["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(file), encoding="utf-8")
+    other = Encoder(str(tmp_path / "other.json"))
+    assert other.engine is None
+    assert other.ids("plain words").tolist() == other.tokenizer.encode("plain words", add_special_tokens=False).ids
