@@ -38,14 +38,35 @@ MONTHS = [
     ("005", "004301265099999 1949 0324180040500001N9 +0078 1+9999"),
     ("006", "004301265099999 1949 0724180040500001N9 +0128 1+9999"),
 ]
-QUOTES = [(f"stock{i}", f'{{"company":"{c}","date":"2023-01-{d}","price":{p}}}') for i, (c, d, p) in enumerate([("AAPL", "05", "130.73"), ("AAPL", "06", "129.62"), ("MSFT", "05", "229.10"), ("MSFT", "06", "224.93"), ("GOOG", "05", "88.23"), ("GOOG", "06", "89.87"), ("AAPL", "07", "133.41")], 1)]
+QUOTES = [
+    ("stock1", '{"company":"AAPL","date":"2023-01-05","price":130.73}'),
+    ("stock2", '{"company":"AAPL","date":"2023-01-06","price":129.62}'),
+    ("stock3", '{"company":"MSFT","date":"2023-01-05","price":229.10}'),
+    ("stock4", '{"company":"MSFT","date":"2023-01-06","price":224.93}'),
+    ("stock5", '{"company":"GOOG","date":"2023-01-05","price":88.23}'),
+    ("stock6", '{"company":"GOOG","date":"2023-01-06","price":89.87}'),
+    ("stock7", '{"company":"AAPL","date":"2023-01-07","price":133.41}'),
+]
 SALES = [
-    (f"sale{i}", f'{{"id":"{12344 + i}","category":"{c}","product":"{p}","price":{x},"quantity":{q}}}')
-    for i, (c, p, x, q) in enumerate(
-        [("Electronics", "Smartphone", 599.99, 1), ("Electronics", "Headphones", 149.99, 2), ("Clothing", "T-Shirt", 24.99, 3), ("Books", "Novel", 15.99, 2), ("Electronics", "Tablet", 349.99, 1), ("Clothing", "Jeans", 49.99, 1), ("Books", "Cookbook", 29.99, 1), ("Electronics", "Smartwatch", 199.99, 1)], 1
-    )
-]
-WEBLOG = [(f"log{i}", f'192.168.1.{i} - - [01/Jan/2023:12:3{i}:00 +0000] "{r} HTTP/1.1" {s} {b}') for i, (r, s, b) in enumerate([("GET /index.html", 200, 2326), ("GET /images/logo.png", 200, 4532), ("GET /nonexistent.html", 404, 1024), ("POST /api/login", 401, 543), ("GET /about.html", 200, 3241), ("POST /api/data", 500, 872), ("GET /contact.html", 200, 1978), ("GET /old-page.html", 301, 321)], 1)]
+    ("sale1", '{"id":"12345","category":"Electronics","product":"Smartphone","price":599.99,"quantity":1}'),
+    ("sale2", '{"id":"12346","category":"Electronics","product":"Headphones","price":149.99,"quantity":2}'),
+    ("sale3", '{"id":"12347","category":"Clothing","product":"T-Shirt","price":24.99,"quantity":3}'),
+    ("sale4", '{"id":"12348","category":"Books","product":"Novel","price":15.99,"quantity":2}'),
+    ("sale5", '{"id":"12349","category":"Electronics","product":"Tablet","price":349.99,"quantity":1}'),
+    ("sale6", '{"id":"12350","category":"Clothing","product":"Jeans","price":49.99,"quantity":1}'),
+    ("sale7", '{"id":"12351","category":"Books","product":"Cookbook","price":29.99,"quantity":1}'),
+    ("sale8", '{"id":"12352","category":"Electronics","product":"Smartwatch","price":199.99,"quantity":1}'),
+]
+WEBLOG = [
+    ("log1", '192.168.1.1 - - [01/Jan/2023:12:34:56 +0000] "GET /index.html HTTP/1.1" 200 2326'),
+    ("log2", '192.168.1.2 - - [01/Jan/2023:12:35:21 +0000] "GET /images/logo.png HTTP/1.1" 200 4532'),
+    ("log3", '192.168.1.3 - - [01/Jan/2023:12:36:45 +0000] "GET /nonexistent.html HTTP/1.1" 404 1024'),
+    ("log4", '192.168.1.4 - - [01/Jan/2023:12:37:12 +0000] "POST /api/login HTTP/1.1" 401 543'),
+    ("log5", '192.168.1.5 - - [01/Jan/2023:12:38:03 +0000] "GET /about.html HTTP/1.1" 200 3241'),
+    ("log6", '192.168.1.6 - - [01/Jan/2023:12:39:27 +0000] "POST /api/data HTTP/1.1" 500 872'),
+    ("log7", '192.168.1.7 - - [01/Jan/2023:12:40:59 +0000] "GET /contact.html HTTP/1.1" 200 1978'),
+    ("log8", '192.168.1.8 - - [01/Jan/2023:12:41:33 +0000] "GET /old-page.html HTTP/1.1" 301 321'),
+]
 LINES = [
     ("b1-l1", "It was the best of times, it was the worst of times,"),
     ("b1-l2", "it was the age of wisdom, it was the age of foolishness,"),
@@ -58,8 +79,12 @@ MAIL = [
     ("doc1", "Contact us at support@example.com for customer service."),
     ("doc2", "Please call us at (555) 123-4567 for assistance."),
     ("doc3", "Visit our website at https://www.example.com for more information."),
+    ("doc4", "Product ID: ABC-123-XYZ is currently out of stock."),
+    ("doc5", "Meeting scheduled for 2023-04-15 at 3:00 PM."),
     ("doc6", "Send your resume to careers@example.org to apply."),
+    ("doc7", "Use coupon code SUMMER25 for 25% off your order."),
     ("doc8", "Reply to john.doe@company.co.uk with your feedback."),
+    ("doc9", "The file is stored at /users/data/report.pdf"),
     ("doc10", "Username: user123, Password: ********"),
 ]
 HOSTS = [
@@ -113,6 +138,17 @@ SPECIES = [
     ("/wiki/Fern", None, [("kingdom", "plantae"), ("class", "polypodiopsida")], {"plantae": 1, "fern": 3}),
 ]
 
+#: (name, page url, page, links it has, its text): pages as they come, with what may be left out left out.
+ODD_PAGES = [
+    ("plain", "http://site.org/a/index.html", "<html><body><p>One <a href='q.html'>two</a></p></body></html>", ["http://site.org/a/q.html"], "One two [q.html]"),
+    ("no head end", "http://site.org/a/", "<html><head><title>t</title><p>Body text here</p><p>more <A HREF=u>x</A></p></html>", ["http://site.org/a/u"], "Body text here\nmore x [u]"),
+    ("many lines", "http://site.org/", '<a\nhref="n">n</a> <!-- <a href="c">c</a> --> <a data-href="d">d</a>', ["http://site.org/n"], "n [n] d"),
+    ("no script", "http://site.org/", "<noscript><a href='/ns'>ns</a></noscript><script>'<a href=no>'</script><p>end", ["http://site.org/ns"], "ns [/ns]\nend"),
+    ("nothing", "http://site.org/", "", [], ""),
+]
+#: (word, stem).
+STEMMED = [("walking", "walk"), ("walked", "walk"), ("walks", "walk"), ("walker", "walker"), ("running", "run"), ("runner", "runner"), ("runs", "run"), ("ran", "ran"), ("easily", "easili"), ("fairly", "fairli")]
+
 ARTICLES = [(1, '{"url":"u1","binomial_name":"b","article_words":["Red","rose","rose"]}'), (2, '{"type":"string","value":"{\\"url\\":\\"u2\\",\\"binomial_name\\":\\"c\\"}"}'), (3, "{}"), (4, "junk"), (5, None)]
 LOCAL_LINES = [("red rose | 2 | u1",), ("bad line",), ("x | y | u",), ("moss | 10 | u2",), (" | 3 | u3",)]
 BATCH_TIMES = [(n, i, (i * 7 + k) % 50) for k, n in enumerate(("n1", "n2")) for i in range(9)]
@@ -124,3 +160,9 @@ LOOSE_POSTINGS = [("a", 1, 0.5, None, 3), ("a", 2, None, 0.25, None), ("b", 1, N
 LOOSE_SCHEMA = "term string, doc_id bigint, score double, tfidf double, count bigint"
 GROUP_OPS = [(1, "put", "g", "10.0.0.1", 80), (2, "add", "g", "10.0.0.2", 80), (3, "add", "h", "10.0.0.1", 80), (4, "rem", "g", "10.0.0.1", 80), (5, "add", "g", "10.0.0.3", 81), (6, "rem", "h", "10.0.0.9", 9)]
 GROUP_SCHEMA = "seq bigint, op string, gid string, ip string, port int"
+GROUP_LOG = [*GROUP_OPS, (7, "del", "h", None, None), (8, "add", "h", "10.0.0.7", 7), (9, "del", "g", None, None)]
+#: (url, depth, is_target, is_indexed) of a crawl of WIKI over WIKI_EDGES.
+WIKI_EDGES = [("https://site.org/wiki/Rose", "https://site.org/wiki/Bird/index.html"), ("https://site.org/wiki/Bird/index.html", "https://site.org/wiki/None"), ("https://site.org/wiki/None", "https://site.org/wiki/Lost")]
+WIKI_CRAWL = [("https://site.org/wiki/Rose", 0, True, True), ("https://site.org/wiki/Bird/index.html", 1, False, False), ("https://site.org/wiki/None", 2, False, False), ("https://site.org/wiki/Lost", 3, False, False)]
+#: Lines of the stemmed index of LEARNING that "deep learning" finds.
+DEEP_LINES = [("deep learn | doc2 1 doc3 1",), ("deep learn power | doc2 1",), ("deep learn relat | doc3 1",), ("learn deep learn | doc3 1",)]

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_HIDDEN = {"script", "style", "title", "head", "noscript", "template"}
+_HIDDEN = {"script", "style", "title", "template"}
 _BLOCK = set("address article aside blockquote body div dl dt dd fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tr ul".split())
 _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
@@ -33,6 +33,8 @@ class _Reader(HTMLParser):
     def handle_starttag(self, tag, attrs):
         values = {k: v or "" for k, v in attrs}
         kinds = set(values.get("class", "").split())
+        if tag == "body":
+            self.hidden = 0
         if tag in _HIDDEN:
             self.hidden += 1
         if tag == "a":
@@ -54,6 +56,8 @@ class _Reader(HTMLParser):
             self.binomial = True
 
     def handle_endtag(self, tag):
+        if tag == "head":
+            self.hidden = 0
         if tag in _HIDDEN and self.hidden:
             self.hidden -= 1
         if tag == "a" and self.open_links:
@@ -137,6 +141,10 @@ def _resolved(htmls: pd.Series, urls: pd.Series) -> pd.Series:
     return pd.Series([resolved_links(h, u) for h, u in zip(htmls, urls, strict=True)])
 
 
+def _hrefs(htmls: pd.Series) -> pd.Series:
+    return htmls.map(lambda h: _read(h).hrefs)
+
+
 def _taxonomies(htmls: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([taxonomy(h) for h in htmls], columns=["hierarchy", "binomial_name"])
 
@@ -158,9 +166,9 @@ def taxonomy_col(html: Column | str) -> Column:
     return F.pandas_udf(_taxonomies, "hierarchy array<struct<label string, value string>>, binomial_name string")(html)
 
 
-def hrefs_sql(html: Column) -> Column:
-    """Quoted href values of anchors by pattern: JVM-side, for well-formed pages."""
-    return F.regexp_extract_all(html, F.lit('<a [^>]*href="([^"]*)"'), F.lit(1))
+def hrefs_col(html: Column | str) -> Column:
+    """The href values of all anchors as they are written, in page order; none in comments and scripts."""
+    return F.pandas_udf(_hrefs, "array<string>")(html)
 
 
 def in_scope(link: Column) -> Column:

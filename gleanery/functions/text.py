@@ -46,6 +46,13 @@ def terms(text: Column, stopwords: Iterable[str] = QUERY_STOPWORDS) -> Column:
     return F.filter(found, lambda t: ~t.isin(stop)) if stop else found
 
 
+def has_term(text: Column, stopwords: Iterable[str] = QUERY_STOPWORDS) -> Column:
+    """Whether ``terms`` of the text has any: a search that ends at the first."""
+    stop = "|".join(sorted(w for w in set(stopwords) if w.isascii() and w.isalpha()))
+    other = f"(?!(?:{stop})(?![a-z0-9_]))" if stop else ""
+    return F.lower(text).rlike(f"(?<![a-z0-9_]){other}[a-z]{{3,}}+(?![a-z0-9_])")
+
+
 def word_array_terms(words: Column, stopwords: Iterable[str] = QUERY_STOPWORDS) -> Column:
     """Terms of an array of raw words; the document's length stays ``size(words)``."""
     return keep_terms(F.transform(words, F.lower), stopwords)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.functions.text import QUERY_STOPWORDS, raw_tokens, shard_key, terms, to_fixed
+from gleanery.functions.text import QUERY_STOPWORDS, has_term, raw_tokens, shard_key, terms, to_fixed
 
 TOP_POSTINGS, TOP_TERMS, GLOBAL_TERMS, MIN_IMPORTANCE = 500, 50, 10_000, 0.05
 #: Boosts of taxonomy levels (fixed values); others count 1.
@@ -28,8 +28,8 @@ def term_counts(docs: DataFrame, stopwords=QUERY_STOPWORDS, id_col: str = "doc_i
 
 
 def corpus_size(docs: DataFrame, stopwords=QUERY_STOPWORDS, text_col: str = "text") -> DataFrame:
-    """``n_docs``: documents with a term, from their own rows (no shuffle but one number a task)."""
-    return docs.agg(F.count_if(F.size(terms(F.col(text_col), stopwords)) > 0).alias("n_docs"))
+    """``n_docs``: documents with a term, from their own rows (no shuffle but one number a task); reading ends at the first term."""
+    return docs.agg(F.count_if(has_term(F.col(text_col), stopwords)).alias("n_docs"))
 
 
 def tfidf(counts: DataFrame, size: DataFrame | None = None, log=F.ln) -> DataFrame:

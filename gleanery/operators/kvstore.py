@@ -53,7 +53,7 @@ def upsert_postings(index: DataFrame, batch: DataFrame, order: str = "ts") -> Da
     """
     columns = [c for c in index.columns if c != "df"]
     merged = latest(index.select(*columns).unionByName(batch.select(*columns)), "term", "url", order=order)
-    return merged.withColumn("df", F.count("*").over(Window.partitionBy("term")))
+    return merged.join(merged.groupBy("term").agg(F.count("*").alias("df")), "term")  # counts combine before they are shuffled
 
 
 def moved_keys(placed_before: DataFrame, placed_after: DataFrame) -> DataFrame:
@@ -63,5 +63,12 @@ def moved_keys(placed_before: DataFrame, placed_after: DataFrame) -> DataFrame:
 
 
 def members(log: DataFrame) -> DataFrame:
-    """Nodes (``gid``, ``ip``, ``port``) of each group after ``put``, ``add`` and ``rem`` operations in order."""
-    return latest(log, "gid", "ip", "port").where("op <> 'rem'").select("gid", "ip", "port")
+    """Nodes (``gid``, ``ip``, ``port``) of each group after ``put``, ``add``, ``rem`` and ``del`` (of a whole group) operations in order."""
+    ended = log.where("op = 'del'").groupBy("gid").agg(F.max("seq").alias("_end"))
+    since = log.where("op <> 'del'").join(ended, "gid", "left").where("_end is null or seq > _end").drop("_end")
+    return latest(since, "gid", "ip", "port").where("op <> 'rem'").select("gid", "ip", "port")
+
+
+def group(log: DataFrame, gid: str) -> DataFrame:
+    """The nodes of one group; none for a group that is not there."""
+    return members(log.where(F.col("gid") == gid)).select("ip", "port")

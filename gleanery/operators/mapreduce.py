@@ -6,6 +6,7 @@ Catalyst's partial aggregation. ``map_reduce_functions`` takes opaque Python clo
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -28,6 +29,22 @@ def batch_slice(df: DataFrame, node: Column, key: str, batch_index: int, batch_s
     return df.withColumn("_position", position).where(F.col("_position").between(first + 1, first + batch_size)).drop("_position")
 
 
+def rejected_rows(df: DataFrame, mapper: Callable[[Any, Any], Iterable[tuple[str, Any]]], key_col: str = "key", value_col: str = "value") -> DataFrame:
+    """``key`` and ``error`` of the rows that ``map_reduce_functions`` leaves out as their mapper fails."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            failed: list[tuple[str, str]] = []
+            for key, value in zip(batch["k"], batch["v"], strict=True):
+                try:
+                    list(mapper(key, value))
+                except Exception as error:  # noqa: BLE001  the contract: whatever a mapper raises
+                    failed.append((key, type(error).__name__))
+            yield pd.DataFrame(failed, columns=["key", "error"])
+
+    return df.select(F.col(key_col).alias("k"), F.col(value_col).alias("v")).mapInPandas(run, "key string, error string")
+
+
 def map_reduce_functions(
     df: DataFrame,
     mapper: Callable[[Any, Any], Iterable[tuple[str, Any]]],
@@ -39,7 +56,7 @@ def map_reduce_functions(
 ) -> DataFrame:
     """Python closures: ``mapper(key, value)`` gives (key, value) pairs, ``reducer(key, values)`` a result.
 
-    A mapper's exception skips its row and a reducer's its key. A key's values meet in one task: use
+    A mapper's exception skips its row (``rejected_rows`` lists them) and a reducer's its key. A key's values meet in one task: use
     ``map_reduce`` where an aggregate can do it.
     """
     emitted = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", value_type)])
@@ -64,3 +81,24 @@ def map_reduce_functions(
 
     mapped = df.select(F.col(key_col).alias("k"), F.col(value_col).alias("v")).mapInPandas(run_map, emitted)
     return mapped.groupBy("key").applyInPandas(run_reduce, result)
+
+
+def iterate(start: DataFrame, step: Callable[[DataFrame], DataFrame], folder: str, max_rounds: int | None = None) -> DataFrame:
+    """``step`` applied until it changes nothing; each round is a table under ``folder`` (on a cluster: a shared one).
+
+    Rows have to be distinct. With ``max_rounds``, a table that still changes after so many raises an error.
+    """
+    spark, path = start.sparkSession, f"{folder.rstrip('/')}/iterate-{uuid.uuid4().hex}"
+
+    def save(rows: DataFrame, n: int) -> DataFrame:
+        rows.write.parquet(f"{path}/round={n}")
+        return spark.read.schema(rows.schema).parquet(f"{path}/round={n}")
+
+    table, n = save(start, 0), 0
+    while True:
+        n += 1
+        before, table = table, save(step(table), n)
+        if table.exceptAll(before).isEmpty() and before.count() == table.count():
+            return table
+        if n == max_rounds:
+            raise RuntimeError(f"the table still changes after {max_rounds} rounds")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.functions.stem import stem_all
+from gleanery.functions.stem import stem, stem_all
 from gleanery.functions.text import QUERY_STOPWORDS, letter_words, ngrams_upto
 
 
@@ -42,6 +42,13 @@ def search_lines(lines: DataFrame, pattern: str) -> DataFrame:
     return lines.where(F.col("line").rlike(pattern))
 
 
+def query_lines(lines: DataFrame, query: str, stopwords=QUERY_STOPWORDS) -> DataFrame:
+    """Lines that hold the query's words as the index has them: lower-cased, without stop words, stemmed, joined by one space."""
+    row = lines.sparkSession.range(1).select(letter_words(F.lit(query), stopwords).alias("w")).first()
+    words = " ".join(stem(w) for w in row["w"])
+    return lines.where(F.contains("line", F.lit(words))) if words else lines.where("false")
+
+
 def parse_local(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, rejected lines) of ``term | freq | url`` lines."""
     parts = F.transform(F.split("line", "\\|"), lambda x: F.trim(x))

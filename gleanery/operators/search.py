@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import query_phrases, query_tokens, to_fixed
@@ -43,14 +43,20 @@ def search(postings: DataFrame, documents: DataFrame, query: str, max_results: i
     return documents.join(F.broadcast(best), "doc_id").select(*best.columns, *(c for c in documents.columns if c not in best.columns))
 
 
-def similar_documents(vectors: DataFrame, postings: DataFrame, doc_id: int, max_results: int = MAX_RESULTS, top_terms: int = 20) -> DataFrame:
-    """Documents that share the source's first ``top_terms`` terms: summed scores times the share of terms."""
-    source = vectors.where((F.col("doc_id") == doc_id) & (F.col("rank") <= top_terms)).select("term")
-    size = source.agg(F.count("*").alias("n"))
-    hits = postings.where(F.col("doc_id") != doc_id).join(F.broadcast(source), "term")
-    found = hits.groupBy("doc_id").agg(F.sum("score").alias("sum"), F.count_distinct("term").alias("matched_terms"))
-    scored = found.crossJoin(F.broadcast(size)).select("doc_id", to_fixed(F.round(F.col("sum") * F.col("matched_terms") / F.col("n"), 10), 6).alias("similarity"), "matched_terms")
-    return scored.orderBy(F.desc("similarity"), "doc_id").limit(max_results)
+def similar_to(vectors: DataFrame, postings: DataFrame, max_results: int = MAX_RESULTS, top_terms: int = 20) -> DataFrame:
+    """Documents that share the first ``top_terms`` terms of each document of ``vectors``: summed scores times the share of terms.
+
+    ``source``, ``doc_id``, ``similarity``, ``matched_terms``; the best ``max_results`` of each source. A term has a bounded
+    number of postings, so a source meets ``top_terms`` times that many rows at most.
+    """
+    wanted = vectors.where(F.col("rank") <= top_terms).select(F.col("doc_id").alias("source"), "term")
+    sizes = wanted.groupBy("source").agg(F.count("*").alias("n"))
+    hits = postings.join(wanted, "term").where(F.col("doc_id") != F.col("source"))
+    found = hits.groupBy("source", "doc_id").agg(F.sum("score").alias("sum"), F.count_distinct("term").alias("matched_terms"))
+    similarity = to_fixed(F.round(F.col("sum") * F.col("matched_terms") / F.col("n"), 10), 6)
+    scored = found.join(sizes, "source").select("source", "doc_id", similarity.alias("similarity"), "matched_terms")
+    best = Window.partitionBy("source").orderBy(F.desc("similarity"), "doc_id")
+    return scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= max_results).drop("_n")
 
 
 def posting_lists(postings: DataFrame, *terms: str) -> DataFrame:

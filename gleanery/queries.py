@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery import fixtures as fx
 from gleanery.functions import hashing, html
+from gleanery.functions.registry import Functions
 from gleanery.functions.stem import stem_col
 from gleanery.functions.text import (
     QUERY_STOPWORDS,
@@ -27,9 +31,11 @@ from gleanery.functions.text import (
     to_fixed,
     word_array_terms,
 )
-from gleanery.operators import index, kvstore, mapreduce, metrics, ngram_index, search
+from gleanery.operators import cache, index, kvstore, mapreduce, metrics, ngram_index, search
+from gleanery.operators.memstore import MemStore
+from gleanery.operators.stored import StoredIndex, publish_index
 from gleanery.plans import catalogue
-from gleanery.sources.tables import decode_articles, spread, table
+from gleanery.sources.tables import append_batch, decode_articles, read_batches, run_batches, spread, table
 from gleanery.streaming import crawl
 from gleanery.streaming.incremental import batch_postings
 
@@ -237,9 +243,9 @@ def doc_vectors_top50(spark, d):
     return index.doc_vectors(_scored(spark, d)).select("doc_id", F.col("rank").cast("bigint").alias("rank"), "term", to_fixed(F.col("tfidf"), 6).alias("tfidf"), "count")
 
 
-@register(f"WITH {_POST} SELECT doc_id, total AS total_words, {_fix('round(sqrt(sum(tfidf * tfidf)), 9)', 5)} AS doc_norm FROM vec GROUP BY 1, 2")
+@register(f"WITH {_POST} SELECT doc_id, total AS total_words, {_fix('round(sqrt(sum(tfidf * tfidf)), 9)', 6)} AS doc_norm FROM vec GROUP BY 1, 2")
 def doc_norms(spark, d):
-    norm = to_fixed(F.round(F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf"))), 9), 5)
+    norm = to_fixed(F.round(F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf"))), 9), 6)
     return index.doc_vectors(_scored(spark, d)).groupBy("doc_id", F.col("total").alias("total_words")).agg(norm.alias("doc_norm"))
 
 
@@ -307,8 +313,9 @@ def _search_sql(tokens: list[str], phrase: list[str]) -> str:
 
 
 def _run_search(spark, d, query):
-    documents = _counts(spark, d).select("doc_id", F.col("total").alias("total_words")).distinct()
-    return search.search(_postings(spark, d), documents, query).select("doc_id", "score", "matched_terms", "total_terms", "total_words")
+    """The index is computed for the query's terms alone; the words are counted in the documents found."""
+    found = search.search(_postings(spark, d), _docs(spark, d).select("doc_id", "text"), query)
+    return found.select("doc_id", "score", "matched_terms", "total_terms", F.size(terms(F.col("text"))).cast("bigint").alias("total_words"))
 
 
 @register(_search_sql(["that"], []))
@@ -321,10 +328,17 @@ def search_phrase(spark, d):
     return _run_search(spark, d, PHRASE)
 
 
-@register(f"""WITH {_POST}, src AS (SELECT term FROM vec WHERE doc_id = 7 AND rank <= 20), h AS (SELECT doc_id, sum(score) AS s, count(DISTINCT term) AS matched_terms FROM post JOIN src USING (term) WHERE doc_id <> 7 GROUP BY 1)
- SELECT doc_id, {_fix('round(s * matched_terms / (SELECT count(*) FROM src), 10)', 6)} AS similarity, matched_terms FROM h ORDER BY similarity DESC, doc_id LIMIT 20""")
+_SIMILAR = f"""WITH {_POST}, src AS (SELECT doc_id AS source, term FROM vec WHERE doc_id % 20 = 0 AND rank <= 20), sizes AS (SELECT source, count(*) AS n FROM src GROUP BY 1),
+ h AS (SELECT source, doc_id, sum(score) AS s, count(DISTINCT term) AS matched_terms FROM post JOIN src USING (term) WHERE doc_id <> source GROUP BY 1, 2),
+ r AS (SELECT source, doc_id, {_fix('round(s * matched_terms / n, 10)', 6)} AS similarity, matched_terms FROM h JOIN sizes USING (source))
+ SELECT source, doc_id, similarity, matched_terms FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY similarity DESC, doc_id) AS k FROM r) WHERE k <= 20"""
+
+
+@register(_SIMILAR)
 def similar_documents(spark, d):
-    return search.similar_documents(index.doc_vectors(_scored(spark, d)), _postings(spark, d), 7)
+    """The 20 nearest of each document whose id is divisible by 20."""
+    sources = index.doc_vectors(_scored(spark, d).where("doc_id % 20 = 0"))
+    return search.similar_to(sources, _postings(spark, d))
 
 
 @register(f"WITH {_POST} SELECT term, doc_id, score, c AS count FROM post WHERE term = 'that'")
@@ -508,7 +522,7 @@ _LINKS = "lk AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href=\
 
 
 def _page_links(spark, d):
-    return table(spark, d, "pages").select("page_id", F.explode(html.hrefs_sql(F.col("html"))).alias("link"))
+    return table(spark, d, "pages").select("page_id", F.explode(html.hrefs_col("html")).alias("link"))
 
 
 @register(f"WITH {_LINKS} SELECT page_id, link FROM lk")
@@ -537,21 +551,52 @@ def page_tokens(spark, d):
     return pages.select("page_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("page_id", "term").agg(F.count("*").alias("count"))
 
 
-@register()
+@register(f"WITH {_LINKS} SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+') || link AS link FROM lk JOIN pages USING (page_id) WHERE link LIKE '/%'")
 def resolved_urls(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(html.resolved_links_col("html", "url")).alias("link"))
 
 
+def _odd_pages(spark):
+    return fx.frame(spark, [row[:3] for row in fx.ODD_PAGES], "name string, url string, html string")
+
+
+@register(f"SELECT * FROM {fx.values_sql([(row[0], row[4]) for row in fx.ODD_PAGES], 'name, text')}")
+def odd_page_text(spark, d):
+    return _odd_pages(spark).select("name", html.page_text_col("html").alias("text"))
+
+
+@register(f"SELECT * FROM {fx.values_sql([(row[0], link) for row in fx.ODD_PAGES for link in row[3]], 'name, link')}")
+def odd_page_links(spark, d):
+    return _odd_pages(spark).select("name", F.explode(html.resolved_links_col("html", "url")).alias("link"))
+
+
+@register(f"SELECT * FROM {fx.values_sql(fx.STEMMED, 'word, stem')}")
+def stemmed_words(spark, d):
+    return fx.frame(spark, [(w,) for w, _ in fx.STEMMED], "word string").select("word", stem_col("word").alias("stem"))
+
+
 def _wiki(spark):
     return fx.frame(spark, fx.WIKI, "url string, html string").select("url", html.taxonomy_col("html").alias("t")).select("url", "t.*")
 
 
-@register()
+_WIKI_PAIRS = [
+    ("https://site.org/wiki/Rose", "Rosa rubra", "kingdom", "plantae"),
+    ("https://site.org/wiki/Rose", "Rosa rubra", "order", "rosales"),
+    ("https://site.org/wiki/Rose", "Rosa rubra", "family", "rosaceae"),
+    ("https://site.org/wiki/Bird/index.html", "Avis nigra", "kingdom", "animalia"),
+    ("https://site.org/wiki/None", None, None, None),
+]
+
+
+@register(f"SELECT * FROM {fx.values_sql(_WIKI_PAIRS, 'url, binomial_name, label, value')}")
 def infobox_taxonomy(spark, d):
     return _wiki(spark).select("url", "binomial_name", F.explode_outer("hierarchy").alias("h")).select("url", "binomial_name", "h.label", "h.value")
 
 
-@register()
+_WIKI_CLASSES = [("https://site.org/wiki/Rose", True, True), ("https://site.org/wiki/Bird/index.html", False, False), ("https://site.org/wiki/None", False, False)]
+
+
+@register(f"SELECT * FROM {fx.values_sql(_WIKI_CLASSES, 'url, is_target, is_indexed')}")
 def target_class_pages(spark, d):
     return _wiki(spark).select("url", html.is_target(F.col("hierarchy")).alias("is_target"), html.is_indexable(F.col("hierarchy"), F.col("binomial_name")).alias("is_indexed"))
 
@@ -685,9 +730,9 @@ def tf_word_arrays(spark, d):
     return kept.groupBy("doc_id", "term", "total").agg(F.count("*").alias("count")).select("doc_id", "term", "count", to_fixed(F.col("count") / F.col("total"), 6).alias("tf"))
 
 
-@register(f"""WITH {_POST} SELECT term, df, {_fix('idf', 6)} AS idf, string_agg(doc_id || ':' || c, ' ' ORDER BY rank) AS postings, {_SHARD} AS shard FROM post WHERE rank <= 5 GROUP BY term, df, idf""")
+@register(f"""WITH {_POST} SELECT term, df, {_fix('idf', 6)} AS idf, string_agg(doc_id || ':' || c, ' ' ORDER BY rank) AS postings, {_SHARD} AS shard FROM post GROUP BY term, df, idf""")
 def term_objects(spark, d):
-    objects = index.term_objects(_scored(spark, d), 5)
+    objects = index.term_objects(_scored(spark, d))
     pairs = F.transform("postings", lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["count"].cast("string")))
     return objects.select("term", "df", to_fixed(F.col("idf"), 6).alias("idf"), F.array_join(pairs, " ").alias("postings"), "shard")
 
@@ -709,6 +754,137 @@ def incremental_index(spark, d):
     return merged.select("term", "url", to_fixed(F.col("tf"), 6).alias("tf"), "df")
 
 
+# --- published index, stores, loops ----------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    """A folder of this call's own under the shared one: the checkpoint folder, or the warehouse where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/gleanery-{uuid.uuid4().hex}"
+
+
+def _published(spark, d) -> StoredIndex:
+    folder = _folder(spark)
+    publish_index(_docs(spark, d), folder)
+    return StoredIndex(spark, folder)
+
+
+@register(_search_sql(["that", "thing", "tion"], ["that", "thing"]))
+def published_search(spark, d):
+    """Publish the index, then search it by shard."""
+    return _published(spark, d).search(PHRASE).select("doc_id", "score", "matched_terms", "total_terms", "total_words")
+
+
+@register(f"WITH {_POST} SELECT i AS place, term, df, CAST(len(list(doc_id)) AS BIGINT) AS n_postings FROM post JOIN (VALUES (1, 'und'), (2, 'that'), (3, 'this')) o(i, term) USING (term) GROUP BY 1, 2, 3")
+def published_terms(spark, d):
+    """A batch look-up keeps the order asked for and leaves out what is not there."""
+    found = _published(spark, d).get_terms(["und", "nosuchterm", "that", "this"])
+    return fx.frame(spark, [(i, r["term"], r["df"], len(r["postings"])) for i, r in enumerate(found, 1)], "place int, term string, df bigint, n_postings bigint")
+
+
+@register(f"WITH {_POST} SELECT i AS place, doc_id, total AS total_words, count(*) AS n_terms FROM vec JOIN (VALUES (1, 9), (2, 4), (3, 12)) o(i, doc_id) USING (doc_id) GROUP BY 1, 2, 3")
+def published_documents(spark, d):
+    found = _published(spark, d).get_documents([9, -1, 4, 12])
+    return fx.frame(spark, [(i, r["doc_id"], r["total_words"], len(r["terms"])) for i, r in enumerate(found, 1)], "place int, doc_id bigint, total_words bigint, n_terms bigint")
+
+
+@register(_search_sql(["that"], []))
+def cached_search(spark, d):
+    """The second of two equal searches is answered by the cache (a top-k: 20 rows)."""
+    held = cache.QueryCache(max_size=8, ttl=60)
+    for _ in range(2):
+        rows = held.through(QUERY, lambda: search_keywords(spark, d).collect())
+    return fx.frame(spark, [tuple(r) for r in rows], "doc_id bigint, score double, matched_terms bigint, total_terms bigint, total_words bigint")
+
+
+@register("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def mem_put_get(spark, d):
+    store = MemStore()
+    key = store.put(table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")))
+    return store.get(key)
+
+
+@register(f"SELECT * FROM {fx.values_sql([('put', 'a b'), ('delete', 'b'), ('other group', 'c'), ('clear', '')], 'step, keys')}")
+def mem_keys(spark, d):
+    store, rows = MemStore(), []
+    for key in "ab":
+        store.put(spark.range(2), key)
+    rows.append(("put", " ".join(store.keys())))
+    store.delete("a")
+    rows.append(("delete", " ".join(store.keys())))
+    store.put(spark.range(3), "c", "g")
+    rows.append(("other group", " ".join(store.keys("g"))))
+    store.clear()
+    return fx.frame(spark, [*rows, ("clear", " ".join(store.keys() + store.keys("g")))], "step string, keys string")
+
+
+@register(f"SELECT * FROM {fx.values_sql([('h', '10.0.0.7', 7)], 'gid, ip, port')}")
+def group_delete(spark, d):
+    return kvstore.members(fx.frame(spark, fx.GROUP_LOG, fx.GROUP_SCHEMA))
+
+
+@register(f"SELECT ip, port FROM {fx.values_sql([('10.0.0.2', 80), ('10.0.0.3', 81)], 'ip, port')}")
+def group_get(spark, d):
+    return kvstore.group(fx.frame(spark, fx.GROUP_OPS, fx.GROUP_SCHEMA), "g")
+
+
+@register(f"SELECT key, count(*) AS result FROM (SELECT unnest(string_split(value, ' ')) AS key FROM {fx.values_sql(fx.FOXES, 'doc, value')}) GROUP BY 1")
+def mr_named_functions(spark, d):
+    """A map-reduce job whose closures are looked up by name."""
+    known = Functions()
+    known.put(lambda _, line: [(word, 1) for word in line.split(" ")], "words", "count")
+    known.put(lambda _, ones: len(ones), "size", "count")
+    lines = fx.frame(spark, fx.FOXES, fx.KV)
+    return mapreduce.map_reduce_functions(lines, known.get("words", "count"), known.get("size", "count"), T.LongType(), T.LongType())
+
+
+@register(f"SELECT * FROM {fx.values_sql([('106', 'IndexError'), ('318', 'ValueError')], 'key, error')}")
+def mr_rejected_rows(spark, d):
+    rows = fx.frame(spark, [("000", "1950 12"), ("106", "1950"), ("318", "1949 x")], fx.KV)
+    return mapreduce.rejected_rows(rows, lambda key, line: [(line.split(" ")[0], int(line.split(" ")[1]))])
+
+
+@register(f"""WITH RECURSIVE e AS (SELECT * FROM {fx.values_sql(fx.EDGES, 'src, dst')}), r(node, low) AS (SELECT src, src FROM e UNION SELECT dst, dst FROM e UNION SELECT dst, low FROM r JOIN e ON src = node)
+ SELECT node, min(low) AS label FROM r GROUP BY 1""")
+def mr_iterative(spark, d):
+    """Smallest label that reaches each node: map labels along the edges and reduce by minimum, until nothing changes."""
+    edges = fx.frame(spark, fx.EDGES, "src string, dst string")
+    start = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.col("node").alias("label"))
+
+    def step(labels):
+        sent = edges.join(labels, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "label")
+        return labels.unionByName(sent).groupBy("node").agg(F.min("label").alias("label"))
+
+    return mapreduce.iterate(start, step, _folder(spark))
+
+
+@register("SELECT event_type, CAST(event_id % 4 AS BIGINT) AS batch_id, count(*) AS n FROM events WHERE event_id % 4 < 3 GROUP BY 1, 2")
+def batch_replay(spark, d):
+    """Four batches: a loop that stops after two and resumes for one; a folder that no manifest names is not read."""
+    folder, events = _folder(spark), table(spark, d, "events")
+    batches = {b: events.where(F.col("event_id") % 4 == b) for b in range(4)}
+    run_batches(spark, batches, lambda rows: rows.groupBy("event_type").agg(F.count("*").alias("n")), folder, most=2)
+    run_batches(spark, batches, lambda rows: rows.groupBy("event_type").agg(F.count("*").alias("n")), folder, most=1)
+    append_batch(batches[3].groupBy("event_type").agg(F.count("*").alias("n")), folder, 3)
+    return read_batches(spark, folder).select("event_type", F.col("batch_id").cast("bigint").alias("batch_id"), "n")
+
+
+@register(f"SELECT url, CAST(depth AS INTEGER) AS depth, is_target, is_indexed FROM {fx.values_sql(fx.WIKI_CRAWL, 'url, depth, is_target, is_indexed')}")
+def crawl_resumed_targets(spark, d):
+    """A crawl that stops after a round, is taken up again, and whose pages pass the gate of the index."""
+    edges, seeds, folder = fx.frame(spark, fx.WIKI_EDGES, "src string, dst string"), fx.frame(spark, [(fx.WIKI_EDGES[0][0],)], "url string"), _folder(spark)
+    with contextlib.suppress(RuntimeError):
+        crawl.crawl(edges, seeds, folder, max_rounds=1, name="wiki")
+    return crawl.crawled_targets(crawl.crawl(edges, seeds, folder, name="wiki"), _wiki(spark))
+
+
+@register(f"SELECT line FROM {fx.values_sql(fx.DEEP_LINES, 'line')}")
+def ngram_query_stemmed(spark, d):
+    """The user's words are normalised and stemmed as the index is."""
+    local = ngram_index.local_index(fx.frame(spark, fx.LEARNING, fx.KV), F.col("key"), F.col("value"))
+    return ngram_index.query_lines(ngram_index.to_lines(ngram_index.global_index(local)), "Deep and LEARNING")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in REGISTRY.items()}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +46,39 @@ def append_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
 
+def commit_batches(spark: SparkSession, path: str, batch_ids: list[int]) -> None:
+    """Name batches as complete in the manifest beside ``path``; naming one again changes nothing."""
+    new = sorted(set(batch_ids) - set(committed(spark, path) or []))
+    if new:
+        spark.range(1).select(F.explode(F.array(*(F.lit(b).cast("bigint") for b in new))).alias("batch_id")).coalesce(1).write.mode("append").json(f"{path}-manifest")
+
+
+def committed(spark: SparkSession, path: str) -> list[int] | None:
+    """Batches that the manifest names; None where there is no manifest."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-manifest")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return sorted(r["batch_id"] for r in spark.read.schema("batch_id bigint").json(f"{path}-manifest").distinct().collect())
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """The batches that the manifest names, or all there are where it names none: other folders are not opened."""
+    rows, named = spark.read.parquet(path), committed(spark, path)
+    return rows.where(F.col("batch_id").isin(named)) if named else rows
+
+
+def run_batches(spark: SparkSession, batches: dict[int, DataFrame], process: Callable[[DataFrame], DataFrame], path: str, most: int | None = None) -> list[int]:
+    """Process, write and commit each batch that is not committed yet, at most ``most`` of them: a loop that stops and resumes."""
+    done = set(committed(spark, path) or [])
+    todo = [b for b in sorted(batches) if b not in done][:most]
+    for batch_id in todo:
+        append_batch(process(batches[batch_id]), path, batch_id)
+        commit_batches(spark, path, [batch_id])
+    return todo
+
+
 def redistribute(source: DataFrame, key: str, parts: int) -> DataFrame:
-    """Deal entries out anew by key."""
+    """Deal entries out anew by key: write the result (``publish``, ``append_batch``) to keep the new places."""
     return source.repartition(parts, key)
 
 

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleanery.functions.html import is_indexable, is_target
 
 
 def frontier_round(frontier: DataFrame, visited: DataFrame, edges: DataFrame) -> DataFrame:
@@ -13,23 +17,30 @@ def frontier_round(frontier: DataFrame, visited: DataFrame, edges: DataFrame) ->
     return found.join(visited, "url", "left_anti").join(frontier.select("url"), "url", "left_anti")
 
 
-def crawl(edges: DataFrame, seeds: DataFrame, folder: str, max_rounds: int | None = None) -> DataFrame:
+def crawl(edges: DataFrame, seeds: DataFrame, folder: str, max_rounds: int | None = None, name: str | None = None) -> DataFrame:
     """``url``, ``depth`` of every url reachable over ``edges`` (src, dst) from the seeds, in rounds.
 
-    Each round is a table under ``folder`` (on a cluster: a shared one), so rounds survive lost executors, lineage stays short,
-    and a crawl can be taken up again from what is there. Rounds go on until the frontier is empty; with ``max_rounds``,
-    a frontier left after so many raises an error.
+    Each round is a table under ``folder`` (on a cluster: a shared one), so rounds survive lost executors and lineage stays
+    short. A crawl with a ``name`` that has stopped is taken up after its last complete round; without one it is new. Rounds go on
+    until the frontier is empty; with ``max_rounds``, a frontier left after so many raises an error.
     """
     spark = edges.sparkSession
-    path = f"{folder.rstrip('/')}/crawl-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/crawl-{name or uuid.uuid4().hex}"
+
+    def read(depth: int) -> DataFrame:
+        return spark.read.schema("url string, depth int").parquet(f"{path}/round={depth}")
 
     def save(rows: DataFrame, depth: int) -> DataFrame:
-        rows.selectExpr("url", f"{depth} as depth").write.parquet(f"{path}/round={depth}")
-        return spark.read.parquet(f"{path}/round={depth}").select("url", "depth")
+        rows.selectExpr("url", f"{depth} as depth").write.mode("overwrite").parquet(f"{path}/round={depth}")
+        return read(depth)
 
-    frontier = save(seeds.select("url").where("url is not null").distinct(), 0)
-    visited = frontier
-    depth = 0
+    depth = _complete_rounds(spark, path) - 1
+    if depth < 0:
+        depth, frontier = 0, save(seeds.select("url").where("url is not null").distinct(), 0)
+        visited = frontier
+    else:
+        frontier = read(depth)
+        visited = reduce(DataFrame.unionByName, map(read, range(depth + 1)))
     while not frontier.isEmpty():
         if depth == max_rounds:
             raise RuntimeError(f"the crawl has pages left after {max_rounds} rounds")
@@ -39,6 +50,24 @@ def crawl(edges: DataFrame, seeds: DataFrame, folder: str, max_rounds: int | Non
     return visited
 
 
+def _complete_rounds(spark: SparkSession, path: str) -> int:
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    fs = paths(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    n = 0
+    while fs.exists(paths(f"{path}/round={n}/_SUCCESS")):
+        n += 1
+    return n
+
+
+def crawled_targets(visited: DataFrame, records: DataFrame) -> DataFrame:
+    """The crawl's pages that pass the gate of the index: ``url``, ``depth``, and whether it is of a target class and indexed.
+
+    ``records`` holds ``url``, ``hierarchy`` and ``binomial_name`` of the pages read; pages without a record are no targets.
+    """
+    gates = records.select("url", is_target(F.col("hierarchy")).alias("target"), is_indexable(F.col("hierarchy"), F.col("binomial_name")).alias("indexed"))
+    return visited.join(gates, "url", "left").select("url", "depth", F.coalesce("target", F.lit(False)).alias("is_target"), F.coalesce("indexed", F.lit(False)).alias("is_indexed"))
+
+
 def enqueue(links: DataFrame, queue: DataFrame, crawled: DataFrame) -> DataFrame:
     """Distinct new links: in neither the queue nor the crawled set."""
     return links.select("url").distinct().join(queue.select("url"), "url", "left_anti").join(crawled.select("url"), "url", "left_anti")
