@@ -161,8 +161,8 @@ LOOSE_SCHEMA = "term string, doc_id bigint, score double, tfidf double, count bi
 GROUP_OPS = [(1, "put", "g", "10.0.0.1", 80), (2, "add", "g", "10.0.0.2", 80), (3, "add", "h", "10.0.0.1", 80), (4, "rem", "g", "10.0.0.1", 80), (5, "add", "g", "10.0.0.3", 81), (6, "rem", "h", "10.0.0.9", 9)]
 GROUP_SCHEMA = "seq bigint, op string, gid string, ip string, port int"
 GROUP_LOG = [*GROUP_OPS, (7, "del", "h", None, None), (8, "add", "h", "10.0.0.7", 7), (9, "del", "g", None, None)]
-#: (url, depth, is_target, is_indexed) of a crawl of WIKI over WIKI_EDGES.
-WIKI_EDGES = [("https://site.org/wiki/Rose", "https://site.org/wiki/Bird/index.html"), ("https://site.org/wiki/Bird/index.html", "https://site.org/wiki/None"), ("https://site.org/wiki/None", "https://site.org/wiki/Lost")]
-WIKI_CRAWL = [("https://site.org/wiki/Rose", 0, True, True), ("https://site.org/wiki/Bird/index.html", 1, False, False), ("https://site.org/wiki/None", 2, False, False), ("https://site.org/wiki/Lost", 3, False, False)]
+#: Links between WIKI's pages, and (url, depth, is_target, is_indexed) of a crawl that follows links of target pages only.
+WIKI_EDGES = [("https://site.org/wiki/Rose", "https://site.org/wiki/Bird/index.html"), ("https://site.org/wiki/Rose", "https://site.org/wiki/None"), ("https://site.org/wiki/Bird/index.html", "https://site.org/wiki/Lost")]
+WIKI_CRAWL = [("https://site.org/wiki/Rose", 0, True, True), ("https://site.org/wiki/Bird/index.html", 1, False, False), ("https://site.org/wiki/None", 1, False, False)]
 #: Lines of the stemmed index of LEARNING that "deep learning" finds.
 DEEP_LINES = [("deep learn | doc2 1 doc3 1",), ("deep learn power | doc2 1",), ("deep learn relat | doc3 1",), ("learn deep learn | doc3 1",)]

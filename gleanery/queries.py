@@ -871,11 +871,13 @@ def batch_replay(spark, d):
 
 @register(f"SELECT url, CAST(depth AS INTEGER) AS depth, is_target, is_indexed FROM {fx.values_sql(fx.WIKI_CRAWL, 'url, depth, is_target, is_indexed')}")
 def crawl_resumed_targets(spark, d):
-    """A crawl that stops after a round, is taken up again, and whose pages pass the gate of the index."""
+    """A crawl that follows target pages' links, stops before its first round, is taken up again, and whose pages pass the gate of the index."""
     edges, seeds, folder = fx.frame(spark, fx.WIKI_EDGES, "src string, dst string"), fx.frame(spark, [(fx.WIKI_EDGES[0][0],)], "url string"), _folder(spark)
+    records = _wiki(spark)
+    targets = records.where(html.is_target(F.col("hierarchy")))
     with contextlib.suppress(RuntimeError):
-        crawl.crawl(edges, seeds, folder, max_rounds=1, name="wiki")
-    return crawl.crawled_targets(crawl.crawl(edges, seeds, folder, name="wiki"), _wiki(spark))
+        crawl.crawl(edges, seeds, folder, max_rounds=0, name="wiki", targets=targets)
+    return crawl.crawled_targets(crawl.crawl(edges, seeds, folder, name="wiki", targets=targets), records)
 
 
 @register(f"SELECT line FROM {fx.values_sql(fx.DEEP_LINES, 'line')}")

@@ -17,14 +17,17 @@ def frontier_round(frontier: DataFrame, visited: DataFrame, edges: DataFrame) ->
     return found.join(visited, "url", "left_anti").join(frontier.select("url"), "url", "left_anti")
 
 
-def crawl(edges: DataFrame, seeds: DataFrame, folder: str, max_rounds: int | None = None, name: str | None = None) -> DataFrame:
+def crawl(edges: DataFrame, seeds: DataFrame, folder: str, max_rounds: int | None = None, name: str | None = None, targets: DataFrame | None = None) -> DataFrame:
     """``url``, ``depth`` of every url reachable over ``edges`` (src, dst) from the seeds, in rounds.
 
     Each round is a table under ``folder`` (on a cluster: a shared one), so rounds survive lost executors and lineage stays
     short. A crawl with a ``name`` that has stopped is taken up after its last complete round; without one it is new. Rounds go on
-    until the frontier is empty; with ``max_rounds``, a frontier left after so many raises an error.
+    until the frontier is empty; with ``max_rounds``, a frontier left after so many raises an error. With ``targets`` (``url``),
+    only links of those pages are followed.
     """
     spark = edges.sparkSession
+    if targets is not None:
+        edges = edges.join(targets.select(F.col("url").alias("src")), "src", "left_semi")
     path = f"{folder.rstrip('/')}/crawl-{name or uuid.uuid4().hex}"
 
     def read(depth: int) -> DataFrame:
