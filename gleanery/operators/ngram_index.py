@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.stem import stem, stem_all
 from gleanery.functions.text import QUERY_STOPWORDS, letter_words, ngrams_upto
+from gleanery.operators.lists import in_blocks
 
 
 def local_index(docs: DataFrame, url: Column, text: Column, stopwords=QUERY_STOPWORDS, stemmed: bool = True, n: int = 3) -> DataFrame:
@@ -25,14 +26,14 @@ def merge(index: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def global_index(postings: DataFrame) -> DataFrame:
-    """``term``, ``postings``: (url, freq) by falling count (as numbers), then url."""
+    """``term``, ``block``, ``postings``: (url, freq) by falling count (as numbers), then url; see ``in_blocks`` for very long lists."""
     item = F.struct((-F.col("freq")).alias("k"), "url", "freq")
-    listed = postings.groupBy("term").agg(F.array_sort(F.collect_list(item)).alias("p"))
-    return listed.select("term", F.transform("p", lambda p: F.struct(p["url"].alias("url"), p["freq"].alias("freq"))).alias("postings"))
+    listed = in_blocks(postings, "term", item, "postings")
+    return listed.withColumn("postings", F.transform("postings", lambda p: F.struct(p["url"].alias("url"), p["freq"].alias("freq"))))
 
 
 def to_lines(index: DataFrame) -> DataFrame:
-    """Text lines ``term | url freq url freq ...``."""
+    """Text lines ``term | url freq url freq ...``, one for each block of a term."""
     pairs = F.array_join(F.transform("postings", lambda p: F.concat_ws(" ", p["url"], p["freq"].cast("string"))), " ")
     return index.select(F.concat("term", F.lit(" | "), pairs).alias("line"))
 

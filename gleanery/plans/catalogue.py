@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import to_fixed
+from gleanery.operators.lists import in_blocks
 from gleanery.operators.mapreduce import map_reduce
 
 
@@ -82,15 +83,16 @@ EMAIL = "(?i)(?<![A-Z0-9_])[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}(?![A-Z0-9_])"
 
 
 def matching_docs(docs: DataFrame, pattern: str = EMAIL) -> DataFrame:
-    """Sorted keys of the documents that a pattern matches."""
-    return docs.where(F.col("value").rlike(pattern)).agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("docs"))
+    """Sorted keys of the documents that a pattern matches, by ``block`` (one, unless they are very many)."""
+    found = docs.where(F.col("value").rlike(pattern)).select(F.lit(pattern).alias("pattern"), "key")
+    return in_blocks(found, "pattern", F.col("key"), "docs").select("block", F.array_join("docs", ",").alias("docs"))
 
 
 def inverted_index(docs: DataFrame, key: str = "key", text: str = "value") -> DataFrame:
-    """Sorted documents of each lower-cased word."""
+    """Sorted documents of each lower-cased word, by ``block`` (one, unless they are very many)."""
     words = F.array_distinct(F.split(F.lower(F.col(text)), "\\s+"))
     pairs = docs.select(F.col(key).alias("key"), F.explode(words).alias("word")).where("word <> ''")
-    return pairs.groupBy("word").agg(F.array_sort(F.collect_list("key")).alias("docs"))
+    return in_blocks(pairs, "word", F.col("key"), "docs")
 
 
 def reverse_links(pages: DataFrame) -> DataFrame:

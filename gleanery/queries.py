@@ -163,7 +163,7 @@ def mr_word_count_clean(spark, d):
 
 @register(f"SELECT string_agg(key, ',' ORDER BY key) AS docs FROM {fx.values_sql(fx.MAIL, 'key, value')} WHERE regexp_matches(value, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{{2,}}\\b')")
 def mr_regex_match(spark, d):
-    return catalogue.matching_docs(_kv(spark, fx.MAIL))
+    return catalogue.matching_docs(_kv(spark, fx.MAIL)).select("docs")
 
 
 @register(f"""WITH e AS (SELECT key AS source, unnest(string_split(value, ' ')) AS sink FROM {fx.values_sql(fx.HOSTS, 'key, value')}), n AS (SELECT sink, count(*) AS n FROM e GROUP BY 1)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.functions.registry import Functions
 from gleanery.operators import kvstore, mapreduce, search
 from gleanery.operators.cache import QueryCache
+from gleanery.operators.lists import in_blocks
 from gleanery.operators.memstore import MemStore
 from gleanery.operators.stored import StoredIndex, publish_index
 from gleanery.sources import tables
@@ -99,3 +100,11 @@ def test_published_index(spark, tmp_path):
     plan = stored.postings(["rose"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1][:60]
     assert search.similar_to(stored.documents([99]), stored.postings(["rose"])).count() == 0
+
+
+def test_long_lists_are_dealt_over_blocks(spark):
+    rows = spark.createDataFrame([("hot", i) for i in range(100)] + [("cold", 1), ("cold", 0)], "k string, v long")
+    got = {(r.k, r.block): r["items"] for r in in_blocks(rows, "k", F.col("v"), "items", size=20).collect()}
+    assert got.pop(("cold", 0)) == [0, 1]
+    assert len(got) == 5 and sorted(v for items in got.values() for v in items) == list(range(100))
+    assert all(items == sorted(items) for items in got.values())
