@@ -14,7 +14,8 @@ Fingerprints of 64 bits link when at most ``max_bits`` of them differ. The plan:
    ``max_bits`` shared bits; what is left is refined level by level down to single fingerprints. Every
    link comes through this index;
 4. only a spanning forest of a block's links leaves the task, never all pairs. Blocks of one bucket
-   that ended up in different tasks meet pairwise as packed blocks, pruned by the same node test;
+   that ended up in different tasks meet pairwise as packed blocks, pruned by the same node test; a bucket of
+   more than ``HOT_BLOCKS`` blocks is routed again by parts of its free bits, on one of which linked rows agree;
 5. components come from alternating large-star/small-star rounds on the links, each written to the
    shared folder.
 """
@@ -34,8 +35,9 @@ from .scratch import drop, lean, materialize
 
 SEED = 42
 BITS = 64
-#: Rows of one packed index block, and fan-out of an index node.
-BLOCK_ROWS, FANOUT = 4096, 16
+#: Rows of one packed index block, fan-out of an index node, packed blocks of a bucket that meet pairwise, and
+#: how often larger buckets are routed again (each time by a fifth of their free bits).
+BLOCK_ROWS, FANOUT, HOT_BLOCKS, FINER_TIMES = 4096, 16, 8, 2
 
 
 def fingerprint(text: str | None, shingle_words: int = 4) -> int:
@@ -270,20 +272,57 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[p
 def hamming_links(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
     """Spanning links (``src``, ``dst``) of the graph over ``nodes`` (``fp`` distinct, ``node``)."""
     masks = _block_masks(max_bits)
-    routed = nodes.select(
-        F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)))).alias("b"),
-        "fp",
-        "node",
-    ).select("b.band", "b.key", "fp", "node", _gray_rank(F.col("fp")).alias("rank"))
-    ordered = routed.repartitionByRange("band", "key", "rank").sortWithinPartitions("band", "key", "rank").select("band", "key", "fp", "node", F.spark_partition_id().alias("part"))
-    index = materialize(ordered.mapInArrow(lean(lambda b: _index_partition(b, max_bits)), _INDEX_SCHEMA), "gray_index")
+    bands = F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks))))
+    return _links(nodes.select(bands.alias("b"), "fp", "node").select("b.band", "b.key", "fp", "node"), masks, max_bits, FINER_TIMES).distinct()
+
+
+def _links(routed: DataFrame, masks: list[int], max_bits: int, finer_times: int) -> DataFrame:
+    """Links within the buckets of ``routed`` (band, key, fp, node); a band's key is made of the bits of its mask.
+
+    Buckets of many blocks are routed again up to ``finer_times`` times.
+    """
+    ordered = routed.withColumn("rank", _gray_rank(F.col("fp"))).repartitionByRange("band", "key", "rank").sortWithinPartitions("band", "key", "rank")
+    parts = ordered.select("band", "key", "fp", "node", F.spark_partition_id().alias("part"))
+    index = materialize(parts.mapInArrow(lean(lambda b: _index_partition(b, max_bits)), _INDEX_SCHEMA), "gray_index")
     links = index.where("src is not null").select("src", "dst")
     blocks = index.where("block is not null").drop("src", "dst")
-    left, right = (blocks.select(*(F.col(c).alias(f"{c}_{side}") for c in blocks.columns)) for side in "xy")
+    finer = _finer_masks(masks, max_bits) if finer_times else []
+    if finer:
+        many = blocks.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_BLOCKS).select("band", "key")
+        if not many.isEmpty():
+            hot = blocks.join(F.broadcast(many), ["band", "key"], "left_semi").select("band", "fps", "nodes")
+            rows = hot.mapInArrow(lean(_unpacked), "band int, fp bigint, node bigint")
+            each = len(finer) // len(masks)
+            deeper = F.explode(F.expr(f"transform(sequence(0, {each - 1}), i -> band * {each} + i)")).alias("band")
+            mask = F.element_at(F.array(*map(F.lit, finer)), F.col("band") + 1)
+            again = rows.select(deeper, "fp", "node").select("band", F.col("fp").bitwiseAND(mask).alias("key"), "fp", "node")
+            links = links.unionByName(_links(again, finer, max_bits, finer_times - 1))
+            blocks = blocks.join(F.broadcast(many), ["band", "key"], "left_anti")
+    left, right = (blocks.select(*(F.col(c).alias(f"{c}_{side}") for c in ("band", "key", "block", "pattern", "mask", "fps", "nodes"))) for side in "xy")
     apart = F.bit_count(F.col("pattern_x").bitwiseXOR(F.col("pattern_y")).bitwiseAND(F.col("mask_x")).bitwiseAND(F.col("mask_y")))
     pairs = left.join(right, (F.col("band_x") == F.col("band_y")) & (F.col("key_x") == F.col("key_y")) & (F.col("block_x") < F.col("block_y")) & (apart <= max_bits))
     across = pairs.select("fps_x", "nodes_x", "fps_y", "nodes_y").mapInArrow(lean(lambda b: _block_pairs(b, max_bits)), "src bigint, dst bigint")
-    return links.unionByName(across).distinct()
+    return links.unionByName(across)
+
+
+def _finer_masks(masks: list[int], max_bits: int) -> list[int]:
+    """Each mask with one of ``max_bits + 1`` parts of its free bits, on one of which linked fingerprints agree; none where bits are too few."""
+    finer = []
+    for mask in masks:
+        free = [b for b in range(BITS) if not mask >> b & 1]
+        if len(free) <= max_bits:
+            return []
+        for part in np.array_split(np.array(free), max_bits + 1):
+            more = (mask % (1 << BITS)) | sum(1 << int(b) for b in part)
+            finer.append(more - (1 << BITS) if more >> (BITS - 1) else more)
+    return finer
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for band, fps, nodes in zip(*batch.columns, strict=True):
+            fp, node = np.frombuffer(fps.as_py(), np.int64), np.frombuffer(nodes.as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), band.as_py(), np.int32)), pa.array(fp), pa.array(node)], ["band", "fp", "node"])
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -128,6 +128,41 @@ def test_large_tight_bucket_crosses_blocks(spark, monkeypatch, block_rows):
     assert len(links) < 15 * len(rows) * 3
 
 
+def test_hot_buckets_are_routed_again(spark, monkeypatch):
+    """With no block allowed to meet another at first, every bucket that borders cut goes through finer masks once."""
+    monkeypatch.setattr(sd, "HOT_BLOCKS", 0)
+    monkeypatch.setattr(sd, "FINER_TIMES", 1)
+    rng = random.Random(8)
+    fps, at = set(), 0x0123456789ABCDEF
+    for _ in range(250):
+        for _ in range(rng.choice([1, 3, 4, 6])):
+            at ^= 1 << rng.randrange(24)
+        fps.add(at)
+    rows = list(enumerate(sorted(fps)))
+    df = spark.createDataFrame([(n, fp - 2**64 if fp >> 63 else fp) for n, fp in rows], "node long, fp long").repartition(4)
+    parent = {n: n for n, _ in rows}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for r in sd.hamming_links(df).collect():
+        a, b = find(r.src), find(r.dst)
+        parent[max(a, b)] = min(a, b)
+    assert {n: find(n) for n, _ in rows} == brute_components(rows)
+    masks = sd._block_masks(4)
+    assert len(sd._finer_masks(masks, 4)) == 75 and sd._finer_masks([-1], 4) == []
+
+
+def test_every_link_comes_through_the_index(monkeypatch):
+    found = []
+    monkeypatch.setattr(sd, "index_pairs", lambda *a, real=sd.index_pairs, **k: (found.append(len(p[0])) or p for p in real(*a, **k)))
+    fps = np.array([0, 1, 3, 1 << 40, (1 << 40) | 7, 5 << 50], np.uint64)
+    root = sd._bucket_links(fps, np.array([0, 3, 5]), 4)
+    assert root.tolist() == [0, 0, 0, 3, 3, 5] and sum(found) == 4
+
+
 def test_gray_index_prunes_but_loses_nothing():
     rng = np.random.default_rng(4)
     x = rng.integers(0, 2**63, 900, dtype=np.uint64)
