@@ -35,7 +35,7 @@ from gleanery.operators import cache, index, kvstore, mapreduce, metrics, ngram_
 from gleanery.operators.memstore import MemStore
 from gleanery.operators.stored import StoredIndex, publish_index
 from gleanery.plans import catalogue
-from gleanery.sources.tables import append_batch, decode_articles, read_batches, run_batches, spread, table
+from gleanery.sources.tables import append_batch, append_snapshot, decode_articles, read_batches, run_batches, snapshots, spread, table
 from gleanery.streaming import crawl
 from gleanery.streaming.incremental import batch_postings
 
@@ -858,6 +858,22 @@ def mr_iterative(spark, d):
     return mapreduce.iterate(start, step, _folder(spark))
 
 
+@register(f"""SELECT a AS "at", CAST(sum(p) AS BIGINT) AS pages_processed FROM {fx.values_sql(fx.CRAWLERS, 'port, p, c, b, t, h')}, (VALUES ('t1'), ('t2')) w(a) GROUP BY 1""")
+def metrics_snapshots(spark, d):
+    """Snapshots of the nodes' metrics are written, one of them twice, and rolled up by time."""
+    folder, rows = _folder(spark), fx.frame(spark, fx.CRAWLERS, fx.CRAWLERS_SCHEMA)
+    for at in ("t1", "t2", "t1"):
+        append_snapshot(rows, folder, at)
+    return snapshots(spark, folder, fx.CRAWLERS_SCHEMA).groupBy("at").agg(F.sum("pages_processed").alias("pages_processed"))
+
+
+@register(f"WITH {_CNT} SELECT 'now' AS \"at\", count(DISTINCT doc_id) AS total_documents, count(DISTINCT term) AS total_terms, count(*) AS total_postings, CAST(sum(c) AS BIGINT) AS total_words FROM cnt")
+def metadata_snapshot(spark, d):
+    folder = _folder(spark)
+    append_snapshot(index.corpus_metadata(_counts(spark, d)), folder, "now")
+    return snapshots(spark, folder, "total_documents bigint, total_terms bigint, total_postings bigint, total_words bigint")
+
+
 @register("SELECT event_type, CAST(event_id % 4 AS BIGINT) AS batch_id, count(*) AS n FROM events WHERE event_id % 4 < 3 GROUP BY 1, 2")
 def batch_replay(spark, d):
     """Four batches: a loop that stops after two and resumes for one; a folder that no manifest names is not read."""

@@ -46,6 +46,16 @@ def append_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
 
+def append_snapshot(rows: DataFrame, path: str, at: str) -> None:
+    """Add a snapshot of metrics or metadata, taken ``at`` a time, as JSON lines; taking it again replaces it."""
+    rows.withColumn("at", F.lit(at)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("at").json(path)
+
+
+def snapshots(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All snapshots under ``path``, with the time of each as ``at``."""
+    return spark.read.schema(f"{schema}, at string").json(path)
+
+
 def commit_batches(spark: SparkSession, path: str, batch_ids: list[int]) -> None:
     """Name batches as complete in the manifest beside ``path``; naming one again changes nothing."""
     new = sorted(set(batch_ids) - set(committed(spark, path) or []))

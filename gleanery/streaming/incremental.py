@@ -42,18 +42,34 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
 
 
 def merge_batch(batch: DataFrame, batch_id: int, path: str) -> None:
-    """Write version ``batch_id`` from the version before it; a repeated batch gives the same version."""
+    """Write version ``batch_id`` from the version before it; a repeated batch gives the same version.
+
+    The version before stays for readers and for a repeated batch; older ones go.
+    """
     spark = batch.sparkSession
     before = [v for v in _versions(spark, path) if v < batch_id]
     index = spark.read.schema(POSTING).parquet(f"{path}/version={max(before)}") if before else spark.createDataFrame([], POSTING)
     new = batch_postings(batch)
     kept = index.join(new.select("url").distinct(), "url", "left_anti").unionByName(index.join(new.groupBy("url").agg(F.max("ts").alias("newest")), "url").where("ts > newest").drop("newest"))
     upsert_postings(kept, new).drop("df").write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+    fs, _, jvm = _folder(spark, path)
+    for old in sorted(before)[:-1]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}"), True)
+
+
+def document_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """A stream of ``url``, ``text``, ``ts`` from the JSON files that arrive under ``path``; at most ``files_per_batch`` of them a batch, so a backlog is worked off in portions."""
+    reader = spark.readStream.schema("url string, text string, ts timestamp")
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).json(path)
+
 
+def index_stream(docs: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Start a query over a stream of ``url``, ``text``, ``ts``; it resumes from its checkpoint.
 
-def index_stream(docs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Start a query over a stream of ``url``, ``text``, ``ts`` that takes all there is and stops; it resumes from its checkpoint."""
-    return docs.writeStream.foreachBatch(lambda batch, n: merge_batch(batch, n, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    It takes all there is and stops; with an ``interval`` (such as ``"2 seconds"``) it goes on with a batch each.
+    """
+    writer = docs.writeStream.foreachBatch(lambda batch, n: merge_batch(batch, n, path)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
 def event_counts(events: DataFrame, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
