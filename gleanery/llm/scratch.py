@@ -61,16 +61,17 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: bool = False, growth: int = 1) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and return a scan of it.
 
     The table outlives lost executors, cuts the lineage and has real statistics for AQE.
     What comes of little input is written by few tasks: each file costs its store requests (a local store
     even starts a process for its permissions), and many shuffle partitions of a small table are all cost.
+    ``growth`` says how many rows the plan makes of each that it reads.
     """
     spark = df.sparkSession
     folder = f"{scratch_dir(spark).rstrip('/')}/gleanery-{uuid.uuid4().hex}"
-    df.coalesce(_writers(df)).write.option("compression", "zstd").parquet(f"{folder}/{name}")
+    df.coalesce(_writers(df, growth)).write.option("compression", "zstd").parquet(f"{folder}/{name}")
     if _BLOCKS and not keep:
         _BLOCKS[-1].append(folder)
     table = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
@@ -82,10 +83,10 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 _WRITER_BYTES = 2 << 20
 
 
-def _writers(df: DataFrame) -> int:
+def _writers(df: DataFrame, growth: int) -> int:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return max(df.sparkSession.sparkContext.defaultParallelism, min(1 << 30, size // _WRITER_BYTES + 1))
+    return max(df.sparkSession.sparkContext.defaultParallelism, min(1 << 30, growth * size // _WRITER_BYTES + 1))
 
 
 def lean(step: Callable) -> Callable:

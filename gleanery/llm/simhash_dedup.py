@@ -283,7 +283,7 @@ def _links(routed: DataFrame, masks: list[int], max_bits: int, finer_times: int)
     """
     ordered = routed.withColumn("rank", _gray_rank(F.col("fp"))).repartitionByRange("band", "key", "rank").sortWithinPartitions("band", "key", "rank")
     parts = ordered.select("band", "key", "fp", "node", F.spark_partition_id().alias("part"))
-    index = materialize(parts.mapInArrow(lean(lambda b: _index_partition(b, max_bits)), _INDEX_SCHEMA), "gray_index")
+    index = materialize(parts.mapInArrow(lean(lambda b: _index_partition(b, max_bits)), _INDEX_SCHEMA), "gray_index", growth=len(masks))
     links = index.where("src is not null").select("src", "dst")
     blocks = index.where("block is not null").drop("src", "dst")
     finer = _finer_masks(masks, max_bits) if finer_times else []
