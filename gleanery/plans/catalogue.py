@@ -96,7 +96,7 @@ def inverted_index(docs: DataFrame, key: str = "key", text: str = "value") -> Da
 
 
 def reverse_links(pages: DataFrame) -> DataFrame:
-    """Sources of each sink, with a share that falls with their number (0.42 alone, 0.12 of two, 0.04 of more)."""
+    """Sources of each sink, with a share that falls with their number (fixed values: 0.42 alone, 0.12 of two, 0.04 of more)."""
     edges = pages.select(F.col("key").alias("source"), F.explode(F.split("value", " +")).alias("sink")).where("sink <> ''")
     n = edges.groupBy("sink").agg(F.count("*").alias("n"))
     share = F.when(F.col("n") == 1, 0.42).when(F.col("n") == 2, 0.42 / 3.5).otherwise(0.42 / 10)
