@@ -79,6 +79,6 @@ def important_terms(importance: DataFrame, n: int) -> DataFrame:
     return importance.orderBy(F.desc("importance"), "term").limit(n)
 
 
-def document_details(vectors: DataFrame, doc_id: int, n: int = 10) -> DataFrame:
-    """The first ``n`` terms of a document."""
-    return vectors.where((F.col("doc_id") == doc_id) & (F.col("rank") <= n)).select("doc_id", "rank", "term", to_fixed(F.col("tfidf"), 6).alias("tfidf"), "count")
+def document_details(vectors: DataFrame, n: int = 10) -> DataFrame:
+    """The first ``n`` terms of each document of ``vectors``."""
+    return vectors.where(F.col("rank") <= n).select("doc_id", "rank", "term", to_fixed(F.col("tfidf"), 6).alias("tfidf"), "count")

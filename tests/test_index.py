@@ -69,7 +69,7 @@ def test_similar_and_lookups(scored, postings):
     vectors = index.doc_vectors(scored)
     assert {r.doc_id for r in search.similar_to(vectors.where("doc_id = 2"), postings).collect()} == {1, 3}
     assert search.similar_to(vectors.where("doc_id = 99"), postings).count() == 0
-    assert [r.term for r in search.document_details(vectors, 1, 1).collect()] == ["rose"]
+    assert [r.term for r in search.document_details(vectors.where("doc_id = 1"), 1).collect()] == ["rose"]
     weak = postings.withColumn("score", F.lit(0.0)).withColumn("idf", F.lit(0.0))
     assert search.repair_min_idf(weak).agg(F.min("idf"), F.min("score")).first()[:] == (0.001, 1e-6)
 
