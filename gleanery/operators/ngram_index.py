@@ -8,21 +8,52 @@ from pyspark.sql import functions as F
 from gleanery.functions.stem import stem, stem_all
 from gleanery.functions.text import QUERY_STOPWORDS, letter_words, ngrams_upto
 from gleanery.operators.lists import in_blocks
+from gleanery.operators.rowwise import count_by_key
 
 
-def local_index(docs: DataFrame, url: Column, text: Column, stopwords=QUERY_STOPWORDS, stemmed: bool = True, n: int = 3) -> DataFrame:
-    """``term``, ``url``, ``freq`` of the complete 1- to ``n``-grams of each document's words."""
-    words = docs.select(url.cast("string").alias("url"), letter_words(text, stopwords).alias("words"))
-    if stemmed:
-        words = words.withColumn("words", stem_all("words"))
-    grams = words.select("url", F.explode(ngrams_upto(F.col("words"), n)).alias("term"))
-    return grams.groupBy("term", "url").agg(F.count("*").alias("freq"))
+def local_index(docs: DataFrame, url: Column, text: Column, stopwords=QUERY_STOPWORDS, stemmed: bool = True, n: int = 3, holding: str | None = None) -> DataFrame:
+    """``term``, ``url``, ``freq`` of the complete 1- to ``n``-grams of each document's words, counted in the document's own row.
+
+    ``holding`` keeps the grams that hold this text, before anything is exploded.
+    """
+
+    def grams(rows: DataFrame) -> DataFrame:
+        words = rows.select("url", letter_words(F.col("text"), stopwords).alias("words"))
+        if stemmed:
+            words = words.withColumn("words", stem_all("words"))
+        if holding is not None:
+            words = words.where(F.contains(F.array_join("words", " "), F.lit(holding)))
+        found = ngrams_upto(F.col("words"), n)
+        return words.select("url", found.alias("grams") if holding is None else F.filter(found, lambda g: F.contains(g, F.lit(holding))).alias("grams"))
+
+    texts = docs.select(url.cast("string").alias("url"), text.alias("text"))
+    return count_by_key(texts, "url", grams, "grams", "term", "freq").select("term", "url", "freq")
 
 
 def merge(index: DataFrame, batch: DataFrame) -> DataFrame:
-    """Upsert by (term, url): what ``batch`` says of a url replaces the old count."""
-    kept = index.join(batch.select("term", "url"), ["term", "url"], "left_anti")
-    return kept.unionByName(batch.select(*index.columns))
+    """Upsert by (term, url): what ``batch`` says of a url replaces the old count.
+
+    Both are dealt out by term, once, which also serves what groups the result by term.
+    """
+    both = index.withColumn("_new", F.lit(False)).unionByName(batch.select(*index.columns).withColumn("_new", F.lit(True)))
+    new = F.max(F.when(F.col("_new"), F.col("freq")))
+    freq = F.when(F.max("_new"), new).otherwise(F.max("freq"))
+    return both.repartition("term").groupBy("term", "url").agg(freq.alias("freq")).select(*index.columns)
+
+
+def term_lines(postings: DataFrame) -> DataFrame:
+    """``term`` and ``postings``, the text ``url freq url freq ...`` by falling count, then url: one row for each term, however long.
+
+    Urls of one count are joined first, so what is held at once are the urls of a term and no records of them.
+    """
+    urls = F.sort_array(F.collect_list("url"))
+    # of null parts the text would be null: a posting has a url and a count
+    equal = postings.where("url is not null and freq is not null").repartition("term").groupBy("term", "freq").agg(urls.alias("urls"))
+    freq = F.concat(F.lit(" "), F.col("freq").cast("string"))
+    text = F.concat(F.call_function("array_join", F.col("urls"), F.concat(freq, F.lit(" "))), freq)
+    joined = equal.select("term", F.struct((-F.col("freq")).alias("k"), text.alias("text")).alias("part"))
+    parts = F.sort_array(F.collect_list("part"))
+    return joined.groupBy("term").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("postings"))
 
 
 def global_index(postings: DataFrame) -> DataFrame:
