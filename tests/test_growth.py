@@ -7,6 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from gleanery import queries
+from gleanery.functions.text import to_fixed
 from gleanery.operators import index, ngram_index
 from gleanery.sources.tables import table
 
@@ -65,3 +66,26 @@ def test_page_tokens_of_repeated_pages(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert _counted(queries.page_tokens(spark, str(tmp_path)).select("page_id", "term", "count")) == {(1, "moss", 3), (1, "fern", 1)}
     assert table(spark, str(tmp_path), "pages").count() == 3
+
+
+def test_scores_by_document_are_those_by_term(spark):
+    texts = [(i, f"moss rose {'fern ' * (i % 3)} {'abcdefghij'[i % 10] * 4} {'abcdefghijklmnopqrst'[i % 20] * 5}") for i in range(60)]
+    counts = index.term_counts(spark.createDataFrame(texts, "doc_id long, text string"))
+    columns = ["doc_id", "term", "count", "total", "df", "idf", "tf", "tfidf"]
+    expected = _counted(index.tfidf(counts).select(columns))
+    assert _counted(index.tfidf(counts, by_document=True).select(columns)) == expected and len(expected) > 200
+    weights = index.term_weights(counts).cache()
+    for most in (0, 1, 3, 10):  # none, some and all but the rarest are broadcast
+        got = index.join_by_term(counts, weights, most).select("doc_id", "term", "count", "df", "idf").collect()
+        assert len(got) == len(expected) and {tuple(r) for r in got} == {(e[0], e[1], e[2], e[4], e[5]) for e in expected}
+
+
+def test_fixed_rounding_is_that_of_the_exact_value(spark):
+    """Against Python's formatting: ties, near ties, large and negative values; most are not formatted."""
+    values = [227.015, 0.5, 1.5, 2.5, 0.0000005, 0.0000015, 1e15 + 0.3, -0.125, -2.675, 3e9 + 0.015, 0.0, *(i / 997 for i in range(3000)), *(i / 2000 for i in range(3000))]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
+    for digits in (2, 6):
+        got = [(r[0], r[1]) for r in df.where("v is not null and not isnan(v)").select("v", to_fixed(F.col("v"), digits)).collect()]
+        assert [x for x in got if x[1] != float(f"{x[0]:.{digits}f}")] == [] and len(got) == len(values)
+    assert "rint" in df.select(to_fixed(F.col("v"), 6))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert df.where("v is null").select(to_fixed(F.col("v"), 2)).first()[0] is None
