@@ -56,6 +56,18 @@ def upsert_postings(index: DataFrame, batch: DataFrame, order: str = "ts") -> Da
     return merged.join(merged.groupBy("term").agg(F.count("*").alias("df")), "term")  # counts combine before they are shuffled
 
 
+def upsert_documents(index: DataFrame, batch: DataFrame) -> DataFrame:
+    """``upsert_postings`` of an index that lies by document: ``url`` and ``postings``, an array of (``term``, ``ts``, ...).
+
+    Postings meet those of their own url only, so a document's are shuffled as one row and merged inside it.
+    """
+    both = index.unionByName(batch).repartition("url").groupBy("url").agg(F.collect_list("postings").alias("_v"))
+    held = both.select("url", F.when(F.size("_v") > 1, F.sort_array(F.flatten("_v"), asc=False)).otherwise(F.get("_v", F.lit(0))).alias("_p"))
+    new = F.filter(F.sequence(F.lit(0), F.size("_p") - 1), lambda i: (i == 0) | ~F.get("_p", i)["term"].eqNullSafe(F.get("_p", i - 1)["term"]))
+    newest = held.select("url", "_p", F.when(F.size("_p") > 0, new).alias("_at"))
+    return newest.select("url", F.when(F.size("_at") < F.size("_p"), F.transform("_at", lambda i: F.get("_p", i))).otherwise(F.col("_p")).alias("postings"))
+
+
 def moved_keys(placed_before: DataFrame, placed_after: DataFrame) -> DataFrame:
     """Keys that change their node with the membership: ``key``, ``before``, ``after``."""
     both = placed_before.select("key", F.col("node").alias("before")).join(placed_after.select("key", F.col("node").alias("after")), "key")

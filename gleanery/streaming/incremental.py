@@ -6,17 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gleanery.operators.index import term_counts
+from gleanery.functions.text import terms
 from gleanery.operators.kvstore import upsert_postings
+from gleanery.operators.rowwise import by_repetition, count_arrays, explode_computed
 
 POSTING = "term string, url string, tf double, ts timestamp"
 
 
+def batch_documents(docs: DataFrame) -> DataFrame:
+    """``url`` and ``postings`` (``term``, ``ts``, ``tf``) of a batch of ``url``, ``text``, ``ts`` (the latest text of a url counts)."""
+    single, several = by_repetition(docs.select("url", "text", "ts").where("url is not null and ts is not null"), "url")
+    newest = single.unionByName(several.groupBy("url").agg(F.max_by("text", "ts").alias("text"), F.max("ts").alias("ts")))
+    words = newest.select("url", "ts", terms(F.col("text")).alias("terms"))
+    counts = count_arrays(words.select("url", "ts", F.size("terms").alias("total"), "terms"), "terms", "term", "count")
+    item = F.transform("terms", lambda t: F.struct(t["term"].alias("term"), F.col("ts").alias("ts"), (t["count"] / F.col("total")).alias("tf")))
+    return counts.select("url", item.alias("postings"))
+
+
 def batch_postings(docs: DataFrame) -> DataFrame:
-    """Postings of a batch of ``url``, ``text``, ``ts`` (the latest text of a url counts)."""
-    newest = docs.groupBy("url").agg(F.max_by("text", "ts").alias("text"), F.max("ts").alias("ts"))
-    counts = term_counts(newest, id_col="url").join(newest.select(F.col("url").alias("doc_id"), "ts"), "doc_id")
-    return counts.select("term", F.col("doc_id").alias("url"), (F.col("count") / F.col("total")).alias("tf"), "ts")
+    """``batch_documents`` as a row for each posting."""
+    return explode_computed(batch_documents(docs), "postings").select("_p.term", "url", "_p.tf", "_p.ts")
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import time
 
 from pyspark.sql import functions as F
 
 from gleanery import queries
 from gleanery.functions.text import to_fixed
-from gleanery.operators import index, ngram_index
+from gleanery.operators import index, kvstore, ngram_index
+from gleanery.operators.rowwise import explode_computed
 from gleanery.sources.tables import table
+from gleanery.streaming import incremental
 
 
 def _counted(df):
@@ -89,3 +92,15 @@ def test_fixed_rounding_is_that_of_the_exact_value(spark):
         assert [x for x in got if x[1] != float(f"{x[0]:.{digits}f}")] == [] and len(got) == len(values)
     assert "rint" in df.select(to_fixed(F.col("v"), 6))._jdf.queryExecution().optimizedPlan().toString().lower()
     assert df.where("v is null").select(to_fixed(F.col("v"), 2)).first()[0] is None
+
+
+def test_documents_are_upserted_as_their_postings_are(spark):
+    def batch(rows):
+        return spark.createDataFrame([(u, t, dt.datetime(2024, 1, day)) for u, t, day in rows], "url string, text string, ts timestamp")
+
+    first = batch([("u1", "red rose", 1), ("u2", "moss", 3), ("u3", "fern fern palm", 1), ("u4", "", 1)])
+    second = batch([("u1", "red moss moss", 2), ("u2", "moss fern", 2), ("u5", "palm", 1), ("u5", "palm rose", 2), ("u6", None, 2)])
+    by_document = kvstore.upsert_documents(kvstore.upsert_documents(*map(incremental.batch_documents, (first, second))), incremental.batch_documents(second))
+    got = explode_computed(by_document, "postings").select("_p.term", "url", "_p.tf", "_p.ts")
+    expected = kvstore.upsert_postings(*map(incremental.batch_postings, (first, second))).select("term", "url", "tf", "ts")
+    assert _counted(got) == _counted(expected) and got.count() == expected.count() == 9
