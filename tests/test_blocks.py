@@ -74,7 +74,7 @@ def test_terms_across_pieces_and_batches(monkeypatch):
     assert [r[3] for r in whole if r[0] == "moss"] == [0, 1, 2, 3, 4]
 
 
-@pytest.mark.parametrize("name", ["min_idf_repair", "term_importance_topn", "important_terms"])
+@pytest.mark.parametrize("name", ["min_idf_repair", "term_importance_topn", "important_terms", "postings_top500"])
 def test_postings_of_all_terms_come_from_one_reading(spark, tmp_path, name):
     """Terms are neither counted twice nor joined with their counts of documents, and no window sorts all postings."""
     spark.createDataFrame(_texts(20), "doc_id long, text string").withColumn("source", F.lit("s")).write.parquet(str(tmp_path / "documents.parquet"))
